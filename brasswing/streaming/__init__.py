@@ -1,0 +1 @@
+"""Streaming: the engine's statements are batch only, so nothing is implemented here."""
