@@ -217,7 +217,7 @@ _simple("case_else", "part", lambda t: t.select("p_partkey", X.case([(c("p_size"
 _simple("case_no_else", "part", lambda t: t.select("p_partkey", X.case([(c("p_size") < 10, c("p_size"))]).alias("v")), "SELECT p_partkey, CASE WHEN p_size < 10 THEN p_size END AS v FROM {part}")
 _simple("cast_dec_int", "supplier", lambda t: t.select("s_suppkey", c("s_acctbal").cast("int").alias("whole"), c("s_suppkey").cast("decimal(16,2)").alias("wide")), "SELECT s_suppkey, CAST(trunc(s_acctbal) AS INTEGER) AS whole, CAST(s_suppkey AS DECIMAL(16,2)) AS wide FROM {supplier}")
 _simple("cast_bool", "part", lambda t: t.select("p_partkey", (c("p_size") - 1).cast("boolean").alias("flag"), (c("p_size") > 25).cast("int").alias("big")), "SELECT p_partkey, CAST(p_size - 1 AS BOOLEAN) AS flag, CAST(p_size > 25 AS INTEGER) AS big FROM {part}")
-_simple("date_interval", "orders", lambda t: t.select("o_orderkey", X.add_interval(c("o_orderdate"), 90, "day").alias("d90"), X.add_interval(c("o_orderdate"), 3, "month").alias("m3"), X.add_interval(c("o_orderdate"), -1, "year").alias("y1")), "SELECT o_orderkey, CAST(o_orderdate + INTERVAL '90' DAY AS DATE) AS d90, CAST(o_orderdate + INTERVAL '3' MONTH AS DATE) AS m3, CAST(o_orderdate - INTERVAL '1' YEAR AS DATE) AS y1 FROM {orders}")
+_simple("date_interval", "orders", lambda t: t.select("o_orderkey", X.add_interval(c("o_orderdate"), 91, "day").alias("d91"), X.add_interval(c("o_orderdate"), 3, "month").alias("m3"), X.add_interval(c("o_orderdate"), -1, "year").alias("y1")), "SELECT o_orderkey, CAST(o_orderdate + INTERVAL '91' DAY AS DATE) AS d91, CAST(o_orderdate + INTERVAL '3' MONTH AS DATE) AS m3, CAST(o_orderdate - INTERVAL '1' YEAR AS DATE) AS y1 FROM {orders}")
 _simple("constant_folding", "region", lambda t: t.filter(c("r_regionkey") < F.lit(1) + F.lit(2)).select("r_name", (F.lit(2) * F.lit(3)).alias("six")), "SELECT r_name, 2 * 3 AS six FROM region WHERE r_regionkey < 1 + 2")
 
 # ---- aggregation -----------------------------------------------------------
