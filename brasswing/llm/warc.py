@@ -31,6 +31,9 @@ FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
 #: Longest head a record may have.
 HEAD_BYTES = 64 << 10
+#: Groups of equal payloads that are sent to every executor, at most (about 100 bytes each); beyond it the join is shuffled.
+BROADCAST_GROUPS = 500_000
+SALTS = 8
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -121,11 +124,14 @@ def plan_records(pages: DataFrame) -> DataFrame:
         .filter("n > 1 AND largest IS NOT NULL")
         .select(F.col("digest").alias("d"), "largest")
     )
-    # Rows of one payload are spread by page; the few groups with copies are repeated once a salt.
-    salts = 8
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
-    copies = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("s", F.col("s").cast("bigint"))
-    joined = spread.join(copies, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
+    groups = Scratch(pages.sparkSession).table(groups)
+    if groups.count() <= BROADCAST_GROUPS:
+        joined = rows.join(F.broadcast(groups), F.col("digest") == F.col("d"), "left")
+    else:
+        # Rows of one payload are spread by page; the groups with copies are repeated once a salt.
+        spread = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+        copies = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("s", F.col("s").cast("bigint"))
+        joined = spread.join(copies, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
 
