@@ -188,10 +188,22 @@ def predict(texts: pa.Array, model: Model, table: Table) -> tuple[list[str], np.
     return names, np.where(blank, 0.0, posterior)
 
 
+#: What this worker process has learnt, by broadcast; one model at a time.
+_TABLES: dict[int, Table] = {}
+
+
+def _table(broadcast) -> Table:
+    if broadcast.value is not None and id(broadcast.value) not in _TABLES:
+        _TABLES.clear()
+        model = broadcast.value
+        _TABLES[id(model)] = Table(lambda names: word_scores(names, model))
+    return _TABLES[id(broadcast.value)]
+
+
 def _predict(broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
-        table = Table(lambda names: word_scores(names, model), 500_000)
+        table = _table(broadcast)
         for batch in batches:
             for part in slices(batch):
                 names, score = predict(texts_of(part), model, table)

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at a time within a record batch.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
+#: Distinct pieces a table remembers before it begins anew.
+LIMIT = 500_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -96,7 +98,7 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
 class Table:
     """What each distinct piece maps to, as arrays; learnt in batches and bounded in size."""
 
-    def __init__(self, learn: Callable[[list[str]], np.ndarray], limit: int = 1_000_000) -> None:
+    def __init__(self, learn: Callable[[list[str]], np.ndarray], limit: int = LIMIT) -> None:
         self.learn, self.limit = learn, limit
         self.index: dict[str, int] = {}
         self.values: np.ndarray | None = None
@@ -125,7 +127,7 @@ class Table:
 class Ragged:
     """Variable-length id sequences of pieces in one growing array, bounded in pieces."""
 
-    def __init__(self, learn: Callable[[list[str]], list[np.ndarray]], limit: int = 1_000_000) -> None:
+    def __init__(self, learn: Callable[[list[str]], list[np.ndarray]], limit: int = LIMIT) -> None:
         self.learn, self.limit = learn, limit
         self._reset()
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,12 +96,18 @@ class Encoder:
         return ids, sizes
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process: what it has learnt serves later tasks."""
+    return Encoder(path)
+
+
 def _write_range(root: str, tokenizer: str, shard_tokens: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         fs, base = filesystem(root)
         done: list[tuple] = []
         writer = out = path = None

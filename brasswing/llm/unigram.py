@@ -13,6 +13,7 @@ whole numbers and sums are exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -214,9 +215,25 @@ class Decoder:
         return [blob[a + 1 : b] if blob[a : a + 1] == b" " and b > a else blob[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str | None) -> Vocabulary:
+    return Vocabulary(path)
+
+
+@lru_cache(maxsize=2)
+def counter_of(path: str | None) -> Counter:
+    """One counter a worker process: what it has learnt serves later tasks."""
+    return Counter(vocabulary_of(path))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str | None) -> Encoder:
+    return Encoder(vocabulary_of(path))
+
+
 def _count(path: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(Vocabulary(path))
+        counter = counter_of(path)
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counter.counts(texts_of(part)), pa.int64())], names=["doc_id", "n_tokens"])
@@ -236,8 +253,7 @@ def _encode(path: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        vocabulary = Vocabulary(path)
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = encoder_of(path), Decoder(vocabulary_of(path))
         mark = BLANK.encode()
         for batch in batches:
             for part in slices(batch):
@@ -269,7 +285,7 @@ def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model)
         for batch in batches:
             texts = [None if ids is None else vocabulary.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
