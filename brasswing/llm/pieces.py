@@ -26,8 +26,12 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The texts of a batch, null as empty, with 64-bit offsets."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts of a batch, null as empty, with 64-bit offsets.
+
+    They are copied: some of Arrow's string kernels misread an array that is a slice of another.
+    """
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts))))
 
 
 class Codes:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from brasswing.llm import language, quality, secrets, token_shards, unigram, warc
+from brasswing.llm import language, near_duplicates, quality, secrets, token_shards, unigram, warc
 
 _QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_token_counts": unigram.op4_token_counts,
     "op6_language": language.op6_language,
     "op7_token_shards": token_shards.op7_token_shards,
