@@ -223,6 +223,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), RESULT)
 
 
+def determined(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` whose language is determined; every column is kept and nothing is shuffled."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(broadcast)
+        for batch in batches:
+            for part in slices(batch):
+                names, _ = predict(texts_of(part), broadcast.value, table)
+                yield part.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document of ``documents``, by a model fitted on those not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from brasswing.llm import language, near_duplicates, quality, secrets, token_shards, unigram, warc
+from brasswing.llm import decontamination, language, near_duplicates, personal_data, quality, secrets, token_shards, unigram, warc
 
 _QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_token_counts": unigram.op4_token_counts,
+    "op5_personal_data": personal_data.op5_personal_data,
     "op6_language": language.op6_language,
     "op7_token_shards": token_shards.op7_token_shards,
     "op8_warc": warc.op8_warc,

@@ -1,26 +1,46 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread before the next."""
+"""The corpus pipeline: five stages over ``documents``, each written and reread before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from brasswing.llm import language, unigram
+from brasswing.llm import decontamination, language, near_duplicates, personal_data, unigram
 from brasswing.llm.shared import Scratch
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined."""
-    model = language.fit(docs)
-    rejected = language.identify(docs, model).filter(F.col("lang_pred") == language.UNDETERMINED)
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti")
+    """Drops documents without a language: null, empty and letterless texts."""
+    return language.determined(docs, language.fit(docs))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return near_duplicates.deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain an item of ``benchmark``."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by its kind."""
+    return personal_data.redact(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document left."""
     return unigram.encode_documents(docs)
 
 
-STAGES = [("language", language_stage), ("encode", encode_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", redaction_stage),
+    ("encode", encode_stage),
+]
+#: The stages are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
