@@ -7,16 +7,18 @@
    chance near one in a million, so by the prefix principle it shares one of
    the ``PREFIX`` rarest of either; pairs held by one document alone use up places
    of the prefix, and so most documents post nothing.
-3. First pass: in every list each document meets the list's first document only.
-   Candidates with too few equal coordinates are skipped; the others are
-   confirmed on full sets; components follow.
-4. Second pass: lists that still hold several components. Documents outside
-   the list's largest component meet all of the list, those in other
-   components only, and by equal coordinates. A list whose documents are all
-   copies of one another is never expanded, whatever its length.
-
-No link between two classes is lost: a pair that shares a list is met in the
-second pass unless a chain of confirmed links joins it already.
+3. Stars: every list has a hub, its document with the most collisions overall. A
+   document joins the hub that it meets most often, if enough coordinates are equal;
+   the full sets are compared once, and what each lacks of the other is kept.
+4. Inside a star two documents are compared exactly by these differences, and
+   only where one of them is not linked to the hub and bounds on sizes allow a link.
+5. Lists that still hold several components: documents of different stars meet,
+   those outside the list's largest component with all of the list, by equal
+   coordinates, and are confirmed on full sets.
+
+No link between two classes is lost: a pair that shares a list is compared in
+step 4 or 5 unless confirmed links join it already. Pairs that fail a
+comparison are never written out.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ COORDINATES = 32
 #: Equal coordinates a candidate needs. At similarity 0.75 fewer than 12 of 32 has a chance of about 1e-6.
 MATCHES = 12
 PREFIX = COORDINATES - MATCHES + 1
+#: Documents of a star that one task compares with those not linked to its hub.
+STAR_BLOCK = 256
 
 _A = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -114,44 +118,54 @@ def matches(left: str, right: str) -> Column:
     return F.size(F.array_intersect(left, right))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets reach the bound; rows arrive with the second key in order, so its set is kept."""
+COMPARED = "a bigint, b bigint, size_a bigint, size_b bigint, common bigint, lacking array<bigint>, added array<bigint>"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes, common shingles and differences of pairs; rows arrive with the second key in order, so its set is kept."""
     last_key, last_set = None, None
     for batch in batches:
         for part in slices(batch, "text_a"):
             lefts = shingle_sets(texts_of(part, "text_a"))
-            keys = part.column("b").to_pylist()
-            keep = np.zeros(len(keys), bool)
-            for i, (key, left) in enumerate(zip(keys, lefts, strict=True)):
+            rows: list[tuple] = []
+            for i, (key, left) in enumerate(zip(part.column("b").to_pylist(), lefts, strict=True)):
                 if key != last_key:
                     last_key, last_set = key, shingle_sets(texts_of(part.slice(i, 1), "text_b"))[0]
-                both = len(np.intersect1d(left, last_set, assume_unique=True))
-                keep[i] = 100 * both >= PERCENT * (len(left) + len(last_set) - both) and both > 0
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], names=["a", "b"])
+                lacking, added = np.setdiff1d(last_set, left, assume_unique=True), np.setdiff1d(left, last_set, assume_unique=True)
+                rows.append((len(left), len(last_set), len(left) - len(added), lacking.view(np.int64), added.view(np.int64)))
+            sizes = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+            differences = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4)]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *sizes, *differences], names=["a", "b", "size_a", "size_b", "common", "lacking", "added"])
 
 
-def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (key, text) are similar enough."""
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_confirm, "a bigint, b bigint")
+def similar(common: Column, size_a: Column, size_b: Column) -> Column:
+    """The bound in whole numbers: PERCENT * (a + b) <= (100 + PERCENT) * common."""
+    return (100 + PERCENT) * common >= PERCENT * (size_a + size_b)
 
 
-def _texts(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the documents in ``pairs``, one row each."""
+def compare(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each of ``pairs`` (a, b) compared on the full sets of both texts."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     rows = docs.select(row_key().alias("key"), "text").join(needed, "key", "left_semi")
-    return scratch.table(rows.dropDuplicates(["key"]))
+    texts = scratch.table(rows.dropDuplicates(["key"]))
+    a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    out = scratch.table(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compare, COMPARED))
+    scratch.drop(texts)
+    return out
 
 
 def _postings(scratch: Scratch, representatives: DataFrame) -> DataFrame:
-    """(token, key): each representative under the rarest of its coordinate values, as far as its prefix reaches."""
+    """(token, key, rank): each representative under the rarest of its coordinate values, as far as its prefix reaches.
+
+    ``rank`` counts the documents behind all its values: the most typical document of a list ranks highest.
+    """
     tokens = representatives.select("key", F.explode("signature").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
+    held = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"), F.sum("n").alias("rank"))
     places = F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("held"))
-    chosen = held.filter(places > 0).select("key", F.explode(F.slice("held", F.lit(1), places)).alias("t"))
-    return scratch.table(chosen.select(F.col("t.token").alias("token"), "key"))
+    chosen = held.filter(places > 0).select("key", "rank", F.explode(F.slice("held", F.lit(1), places)).alias("t"))
+    return scratch.table(chosen.select(F.col("t.token").alias("token"), "key", "rank"))
 
 
 def _candidates(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -161,28 +175,61 @@ def _candidates(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(matches("sa", "sb") >= MATCHES).select("a", "b")
 
 
+def _inside_stars(compared: DataFrame) -> DataFrame:
+    """Links (a, b) of documents with one hub, of which a is not linked to it.
+
+    With P the hub's set: common(a, b) = |P| - |lacking a or b| + |added to both|. Large
+    stars are dealt out: b's over as many blocks as the star needs, a's to each block.
+    """
+    sizes = compared.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("b", F.ceil(F.col("n") / STAR_BLOCK).cast("bigint").alias("blocks"))
+    member = compared.join(sizes, "b")
+    loose = ~similar(F.col("common"), F.col("size_a"), F.col("size_b"))
+    left = member.filter(loose).select(
+        F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("x"),
+        F.col("size_a").alias("size_x"), F.col("common").alias("common_x"), F.col("lacking").alias("lacking_x"), F.col("added").alias("added_x"),
+    )
+    right = member.select(
+        F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.col("a").alias("y"), loose.alias("loose_y"), F.col("size_b").alias("size_hub"),
+        F.col("size_a").alias("size_y"), F.col("common").alias("common_y"), F.col("lacking").alias("lacking_y"), F.col("added").alias("added_y"),
+    )
+    at_most = F.least("common_x", "common_y") + F.least(F.size("added_x"), F.size("added_y"))
+    lacking = F.size("lacking_x") + F.size("lacking_y") - F.size(F.array_intersect("lacking_x", "lacking_y"))
+    common = F.col("size_hub") - lacking + F.size(F.array_intersect("added_x", "added_y"))
+    once = ~F.col("loose_y") | (F.col("x") < F.col("y"))
+    may = once & (F.col("x") != F.col("y")) & similar(at_most, F.col("size_x"), F.col("size_y"))
+    linked = F.when(may, similar(common, F.col("size_x"), F.col("size_y"))).otherwise(F.lit(False))
+    same = (left["hub"] == right["hub"]) & (left["block"] == right["block"])
+    return left.join(right, same & linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def links(scratch: Scratch, docs: DataFrame, representatives: DataFrame) -> DataFrame:
     """(node, root) of the components of representatives under the similarity bound; lone ones are absent."""
     postings = _postings(scratch, representatives)
-    firsts = postings.groupBy("token").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = postings.join(firsts, "token").filter("key <> b").select(F.col("key").alias("a"), "b")
-    # A document meets the first document with which it collides most; the second pass has what that leaves.
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    hubs = postings.groupBy("token").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "hub")
+    met = postings.join(hubs, "token").filter("key <> hub.key").select(F.col("key").alias("a"), F.col("hub.rank").alias("rank"), F.col("hub.key").alias("b"))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
+    best = counted.groupBy("a").agg(F.max(F.struct("n", "rank", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     signatures = scratch.table(representatives.join(postings.select("key").distinct(), "key", "left_semi").select("key", "signature"))
-    first = scratch.table(_candidates(best, signatures))
-    edges = scratch.table(confirm(_texts(scratch, docs, first), first))
+    stars = scratch.table(_candidates(best, signatures))
+    compared = compare(scratch, docs, stars)
+    to_hub = compared.filter(similar(F.col("common"), F.col("size_a"), F.col("size_b"))).select("a", "b")
+    edges = scratch.table(to_hub.unionByName(_inside_stars(compared)))
+    scratch.drop(compared)
     joined = scratch.table(components(scratch, edges))
 
-    placed = postings.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root"))
+    placed = postings.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").join(stars.select(F.col("a").alias("key"), F.col("b").alias("hub")), "key", "left")
+    placed = scratch.table(placed.select("token", "key", F.coalesce("root", "key").alias("root"), F.coalesce("hub", "key").alias("hub")))
     sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("m.root").alias("main"))
-    open_lists = scratch.table(placed.join(mixed, "token").join(signatures, "key"))
-    outside = open_lists.filter("root <> main").select("token", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("signature").alias("sa"))
-    everyone = open_lists.select("token", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("signature").alias("sb"), (F.col("root") == F.col("main")).alias("in_main"))
-    meet = (outside["token"] == everyone["token"]) & (outside["root_a"] != everyone["root_b"]) & (everyone["in_main"] | (outside["a"] > everyone["b"])) & (matches("sa", "sb") >= MATCHES)
-    second = scratch.table(outside.join(everyone, meet).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = scratch.table(confirm(_texts(scratch, docs, second), second))
+    several = placed.groupBy("token").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).filter("low <> high").select("token")
+    open_lists = scratch.table(placed.join(mixed, "token").join(several, "token").join(signatures, "key"))
+    outside = open_lists.filter("root <> main").select("token", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("hub").alias("hub_a"), F.col("signature").alias("sa"))
+    everyone = open_lists.select("token", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("hub").alias("hub_b"), F.col("signature").alias("sb"), (F.col("root") == F.col("main")).alias("in_main"))
+    apart = (F.col("root_a") != F.col("root_b")) & (F.col("hub_a") != F.col("hub_b")) & (F.col("hub_a") != F.col("b")) & (F.col("hub_b") != F.col("a"))
+    meet = apart & (F.col("in_main") | (F.col("a") > F.col("b")))
+    enough = F.when(meet, matches("sa", "sb") >= MATCHES).otherwise(F.lit(False))
+    rest = scratch.table(outside.join(everyone, (outside["token"] == everyone["token"]) & enough).select("a", "b").distinct())
+    more = scratch.table(compare(scratch, docs, rest).filter(similar(F.col("common"), F.col("size_a"), F.col("size_b"))).select("a", "b"))
     if more.isEmpty():
         return joined
     return scratch.table(components(scratch, edges.unionByName(more)))
