@@ -29,6 +29,8 @@ END_ID = 2
 SHARD_TOKENS = 64 << 20
 #: Text bytes a range should hold: sets the number of ranges.
 RANGE_BYTES = 64 << 20
+#: Estimates from here on mean that the size is not known.
+UNKNOWN_BYTES = 1 << 50
 #: New pieces in one call of the library.
 JOINED = 64
 #: White space other than lone blanks and line ends between other characters; also the NUL used to part pieces.
@@ -157,7 +159,8 @@ def write_shards(docs: DataFrame, root: str | None = None, tokenizer: str | None
     rows = pick(docs, "doc_id", "text")
     if ranges is None:
         size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        ranges = int(max(spark.conf.get("spark.sql.shuffle.partitions", "8"), -(-size // RANGE_BYTES), key=int))
+        least = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+        ranges = max(least, -(-size // RANGE_BYTES)) if size < UNKNOWN_BYTES else least
     dealt = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     run = _write_range(root, tokenizer or tokenizer_path(), shard_tokens, end_id)
