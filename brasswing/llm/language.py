@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brasswing.llm.pieces import Codes, Table, slices, texts_of
+from brasswing.llm.pieces import Codes, Table, kept, slices, texts_of
 from brasswing.llm.shared import pick
 from brasswing.llm.unigram import BLANK, Vocabulary
 
@@ -188,16 +188,10 @@ def predict(texts: pa.Array, model: Model, table: Table) -> tuple[list[str], np.
     return names, np.where(blank, 0.0, posterior)
 
 
-#: What this worker process has learnt, by broadcast; one model at a time.
-_TABLES: dict[int, Table] = {}
-
-
 def _table(broadcast) -> Table:
-    if broadcast.value is not None and id(broadcast.value) not in _TABLES:
-        _TABLES.clear()
-        model = broadcast.value
-        _TABLES[id(model)] = Table(lambda names: word_scores(names, model))
-    return _TABLES[id(broadcast.value)]
+    """The worker's table of word scores; it holds its model, so the key stays unique."""
+    model = broadcast.value
+    return kept(("language", id(model)), lambda: Table(lambda names: word_scores(names, model)))
 
 
 def _predict(broadcast) -> Callable:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brasswing.llm.components import components
-from brasswing.llm.pieces import PLACES, Table, mix, slices, texts_of, window_hashes, words
+from brasswing.llm.pieces import PLACES, Table, kept, mix, slices, texts_of, window_hashes, words
 from brasswing.llm.shared import Scratch, pick
 
 SHINGLE = 5
@@ -58,17 +58,12 @@ def _hash_words(names: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) for n in names], np.uint64)
 
 
-_WORDS: list[Table] = []
-
-
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text; a text with fewer words than a shingle has one for all of them."""
-    if not _WORDS:
-        _WORDS.append(Table(_hash_words))
     found = words(pc.ascii_lower(texts))
     if not len(found.codes):
         return [np.zeros(0, np.uint64)] * len(texts)
-    hashed = _WORDS[0].rows(found.uniques)[found.codes]
+    hashed = kept(("words",), lambda: Table(_hash_words)).rows(found.uniques)[found.codes]
     windows = window_hashes(hashed, SHINGLE)
     out = []
     for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):

@@ -8,18 +8,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes handled at a time within a record batch.
-SLICE_BYTES = 8 << 20
+#: Text bytes handled at a time within a record batch; what a task holds besides the batch is a multiple of it.
+SLICE_BYTES = 2 << 20
 #: Distinct pieces a table remembers before it begins anew.
 LIMIT = 500_000
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` with about ``SLICE_BYTES`` of text each, at least one row a part."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` with about ``size`` bytes of text each, at least one row a part."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     if not len(sizes):
         return
-    part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    part = np.cumsum(sizes, dtype=np.int64) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
@@ -128,6 +128,22 @@ class Table:
         return self.values[at] if self.values is not None else np.empty(0, np.int64)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What this worker process has learnt under ``key``, for its later tasks.
+
+    Only the last key's is held: operators that follow one another in the same
+    workers do not add up their tables.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class Ragged:
     """Variable-length id sequences of pieces in one growing array, bounded in pieces."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from brasswing.llm.pieces import Codes, Ragged, Table, slices, texts_of
+from brasswing.llm.pieces import Codes, Ragged, Table, kept, slices, texts_of
 from brasswing.llm.shared import pick
 
 BLANK = "▁"
@@ -215,20 +215,18 @@ class Decoder:
         return [blob[a + 1 : b] if blob[a : a + 1] == b" " and b > a else blob[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary_of(path: str | None) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
 def counter_of(path: str | None) -> Counter:
     """One counter a worker process: what it has learnt serves later tasks."""
-    return Counter(vocabulary_of(path))
+    return kept(("counter", path), lambda: Counter(vocabulary_of(path)))
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str | None) -> Encoder:
-    return Encoder(vocabulary_of(path))
+    return kept(("encoder", path), lambda: Encoder(vocabulary_of(path)))
 
 
 def _count(path: str | None) -> Callable:
