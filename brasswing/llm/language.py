@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brasswing.llm.pieces import Codes, Table, kept, slices, texts_of
-from brasswing.llm.shared import pick
+from brasswing.llm.shared import bounded_batches, pick
 from brasswing.llm.unigram import BLANK, Vocabulary
 
 #: Labelled documents a language is fitted on, at most, and rounds of expectation-maximisation.
@@ -213,12 +213,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     scored each; other columns are ignored. The model's size is bounded by the
     public vocabulary, so it is sent to every executor.
     """
+    bounded_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").withColumn("held_out", held_out_column())
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), RESULT)
 
 
 def determined(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` whose language is determined; every column is kept and nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

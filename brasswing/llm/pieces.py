@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -140,6 +141,8 @@ def kept(key: tuple, make: Callable[[], object]):
     if key not in _KEPT:
         _KEPT.clear()
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+            trim(0)
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows sent to a Python worker at a time.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
@@ -54,6 +58,15 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's rows a batch to ``rows``: a worker and its executor hold whole batches several times over.
+
+    Read when a plan runs, so it stays set; a lower value of the caller's own is kept.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: other columns of the input never meet the operator's own."""
     return df.select(*[df[n] for n in names])

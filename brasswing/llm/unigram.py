@@ -21,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from brasswing.llm.pieces import Codes, Ragged, Table, kept, slices, texts_of
-from brasswing.llm.shared import pick
+from brasswing.llm.shared import bounded_batches, pick
 
 BLANK = "▁"
 #: Added to the lowest score for a character in no piece.
 UNKNOWN_PENALTY = 10
+#: Chunks whose ids a worker remembers before it begins anew.
+KNOWN = 200_000
 
 
 def model_path() -> str:
@@ -185,7 +187,7 @@ class Counter:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.table = Ragged(lambda names: [np.array(vocabulary.segment(c), np.int32) for c in names])
+        self.table = Ragged(lambda names: [np.array(vocabulary.segment(c), np.int32) for c in names], KNOWN)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
@@ -275,6 +277,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     counting as a blank. Null and empty texts have no ids; repeated rows are
     encoded each; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, round_trip boolean"
     return pick(docs, "doc_id", "text").mapInArrow(_encode(model), schema)
 
