@@ -149,3 +149,22 @@ def test_pipeline(spark, sf_dir):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(got) == kept - leaks
     assert all(r["round_trip"] and r["n_tokens"] > 0 for r in got.values())
+
+
+CLIPS = "Natalia sold clips to 48 of her friends in April, and then she sold half as many clips in May. How many clips did Natalia sell altogether in April and May?"
+
+
+def leaks(spark, items, texts):
+    """{(doc, item)}, both numbered from 0."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = decontamination.contaminated(docs, bench).collect()
+    assert len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows})
+    return {(r["doc_id"], r["item_id"]) for r in rows}
+
+
+def test_decontamination_ignores_case_and_white_space(spark):
+    names = "We met Anna, Boris, Clara, David, Emil, Frida, Gustav, Hanna and walked on to the old harbour before noon"
+    for text in (CLIPS, names):
+        copies = [text, text.lower(), text.upper(), text.replace(" ", "  "), text.replace(" ", "\n"), text.replace(" ", " "), text.replace("48", "52").lower()]
+        assert leaks(spark, [text, text.lower()], [f"intro words before. {c} And words behind." for c in copies]) == {(d, i) for d in range(len(copies)) for i in range(2)}
