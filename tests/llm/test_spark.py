@@ -168,3 +168,16 @@ def test_decontamination_ignores_case_and_white_space(spark):
     for text in (CLIPS, names):
         copies = [text, text.lower(), text.upper(), text.replace(" ", "  "), text.replace(" ", "\n"), text.replace(" ", " "), text.replace("48", "52").lower()]
         assert leaks(spark, [text, text.lower()], [f"intro words before. {c} And words behind." for c in copies]) == {(d, i) for d in range(len(copies)) for i in range(2)}
+
+
+def test_decontamination_of_repeated_values(spark):
+    crates = "On the farm 5 cars carry 5 crates each and later 5 more crates come by train, so the owner counts them all once again. How many crates are there now?"
+    dozen = "A shop sells 12 pens in a box and 12 boxes in a case, and the clerk orders one case for every school in town. How many pens come?"
+    asked = [crates, dozen, CLIPS]
+    changed = [crates.replace("5 cars", "7 cars").replace("5 crates", "9 crates").replace("5 more", "4 more"), dozen.replace("12 pens", "15 pens").replace("12 boxes", "20 boxes")]
+    inserted = CLIPS.replace("48", "52").replace("April", "June").replace("May", "July").replace("half as", "exactly half as").replace("clips did", "paper clips did")
+    texts = [f"some words before. {t} And words behind." for t in [*changed, inserted]]
+    assert leaks(spark, asked, texts) == {(0, 0), (1, 1), (2, 2)}
+    # Digits in a row are a template of nothing but slots: only the same ones count.
+    digits = " ".join(str(i * i) for i in range(12))
+    assert leaks(spark, [digits], [f"see {digits} there", "see " + " ".join(str(90 - i % 3) for i in range(12))]) == {(0, 0)}
