@@ -181,3 +181,12 @@ def test_decontamination_of_repeated_values(spark):
     # Digits in a row are a template of nothing but slots: only the same ones count.
     digits = " ".join(str(i * i) for i in range(12))
     assert leaks(spark, [digits], [f"see {digits} there", "see " + " ".join(str(90 - i % 3) for i in range(12))]) == {(0, 0)}
+
+
+def test_decontamination_of_short_items(spark):
+    items = ["Which river flows through the city of Paris?", "What is the capital of France?", "2 + 2 = 4", "Paris", "  ?! ", "one two three four five six seven eight"]
+    texts = [f"asked here: {t} and so on" for t in items] + [t.upper() for t in items] + ["What is the capital of Spain?", "2 + 3 = 4", "comparison", "", "1 2 2 4 0"]
+    want = {(i, i) for i in (0, 1, 2, 3, 5)} | {(i + 6, i) for i in (0, 1, 2, 3, 5)} | {(0, 3), (6, 3), (16, 2)}
+    assert leaks(spark, items, texts) == want
+    left = decontamination.decontaminate(spark.createDataFrame([(1, "In Paris"), (2, "in Rome")], "doc_id bigint, text string"), spark.createDataFrame([(1, "paris")], "item_id bigint, text string"))
+    assert [r["doc_id"] for r in left.collect()] == [2]
