@@ -53,7 +53,8 @@ class Encoder:
 
     A lone blank between two other characters always starts a new pre-token of
     this tokenizer and a lone line end is one, so such pieces can be encoded
-    apart; any text with other white space is given to the library whole.
+    apart; any text with other white space or with the mark of an added token is
+    given to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,7 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
@@ -86,7 +87,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
-        odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE))
+        odd = np.array(pc.match_substring_regex(texts, ODD_SPACE))
+        for mark in self.added:
+            odd |= np.asarray(pc.match_substring(texts, mark))
         plain = pc.if_else(pa.array(odd), "", texts)
         parted = pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n\x00")
         coded = Codes(pc.split_pattern(parted, "\x00"))

@@ -142,3 +142,15 @@ def test_warc_record_heads():
     assert warc.successor(data, 0) == len(data)
     assert warc.parse_head(data)["warc-record-id"] == "<urn:page:7>"
     assert warc.successor(b"WARC/1.0\r\nno head", 0) is None
+
+
+def test_encoder_equals_untouched_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_shards.tokenizer_path())
+    encoder, mark = token_shards.Encoder(token_shards.tokenizer_path()), "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"plain words.\nThen{mark}{mark}\tx", "no mark <|endof text|>", "", f"é{mark}"]
+    ids, sizes = encoder.encode(pa.array(texts, pa.large_string()))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
