@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
 #: Bytes of a file that one task scans.
 RANGE_BYTES = 8 << 20
-#: Longest head a record may have.
+#: Bytes read behind a range for the last head in it; longer heads are read on to their end.
 HEAD_BYTES = 64 << 10
 #: Groups of equal payloads that are sent to every executor, at most (about 100 bytes each); beyond it the join is shuffled.
 BROADCAST_GROUPS = 500_000
@@ -65,12 +66,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-_LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]{1,18})\r\n", re.I)
+_LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]{1,18})(?=\r\n)", re.I)
+_END = b"\r\n\r\n"
 
 
 def successor(data: bytes, at: int) -> int | None:
     """Offset in ``data`` just after the record whose magic stands at ``at``; None if no such head is there."""
-    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    end = data.find(_END, at)
     if end < 0:
         return None
     lengths = _LENGTH.findall(data[at : end + 2])
@@ -79,6 +81,34 @@ def successor(data: bytes, at: int) -> int | None:
     return end + 4 + int(lengths[0]) + 4
 
 
+def successors(data: bytes, until: int) -> dict[int, int]:
+    """``successor`` of every magic before ``until`` that has one; ends and lengths of heads are looked for once, so long heads and many magics cost no more."""
+    ends = [m.start() for m in re.finditer(_END, data)]
+    lengths = [(m.start(), int(m[1])) for m in _LENGTH.finditer(data)]
+    places = [p for p, _ in lengths]
+    out: dict[int, int] = {}
+    at = data.find(MAGIC)
+    while 0 <= at < until:
+        k = bisect_left(ends, at)
+        if k < len(ends):
+            i = bisect_left(places, at)
+            if bisect_left(places, ends[k]) - i == 1:
+                out[at] = ends[k] + 4 + lengths[i][1] + 4
+        at = data.find(MAGIC, at + 1)
+    return out
+
+
+def read_head(file, begin: int, data: bytes, at: int, size: int) -> bytes:
+    """``data``, the bytes of ``file`` from ``begin``, read on until the head at ``data[at]`` ends or the file of ``size`` bytes does."""
+    seen, step = at, HEAD_BYTES
+    while data.find(_END, seen) < 0 and begin + len(data) < size:
+        seen = max(at, len(data) - 3)
+        file.seek(begin + len(data))
+        data += file.read(min(step, size - begin - len(data)))
+        step *= 2
+    return data
+
+
 def _write(root: str, file_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(root)
@@ -154,19 +184,16 @@ def _scan(root: str, range_bytes: int) -> Callable:
                 with fs.open_input_file(path) as file:
                     file.seek(begin)
                     data = file.read(min(size, end + HEAD_BYTES) - begin)
-                links: dict[int, int] = {}
-                at = data.find(MAGIC)
-                while 0 <= at < end - begin:
-                    after = successor(data, at)
-                    if after is not None and begin + after <= size:
-                        links[begin + at] = begin + after
-                    at = data.find(MAGIC, at + 1)
+                    last = data.rfind(MAGIC, 0, end - begin + len(MAGIC) - 1)
+                    if last >= 0:
+                        data = read_head(file, begin, data, last, size)
+                links = {begin + at: begin + after for at, after in successors(data, end - begin).items() if begin + after <= size}
                 leaves: dict[int, int] = {}
                 for start in sorted(links, reverse=True):  # a successor lies behind, so its way out is known
                     leaves[start] = leaves.get(links[start], links[start])
                 n = len(links)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * n), pa.array([number] * n, pa.int64()), pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64()), pa.array([leaves[x] for x in links], pa.int64())],
+                    [pa.array([path] * n, pa.string()), pa.array([number] * n, pa.int64()), pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64()), pa.array([leaves[x] for x in links], pa.int64())],
                     names=["path", "range_no", "at", "next", "leaves"],
                 )
 
@@ -226,13 +253,14 @@ def _read(root: str, range_bytes: int) -> Callable:
                     data = file.read(min(size, end + HEAD_BYTES) - at)
                     i = 0
                     while at + i < end:
+                        data = read_head(file, at, data, i, size)
                         after = successor(data, i)
                         if after is None or data[i : i + len(MAGIC)] != MAGIC:
                             raise ValueError(f"{path}: no record at {at + i}")
                         if after > len(data):
                             file.seek(at + len(data))
                             data += file.read(after - len(data))
-                        begin = data.find(b"\r\n\r\n", i) + 4
+                        begin = data.find(_END, i) + 4
                         head, body = parse_head(data[i:begin]), data[begin : after - 4]
                         digest = head["warc-payload-digest"].removeprefix("sha1:")
                         kind = head["warc-type"]

@@ -154,3 +154,14 @@ def test_encoder_equals_untouched_library():
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert want[0] == [64, 220, 50256, 275]
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_warc_successors_of_all_magics():
+    r = random.Random(5)
+    bits = [b"WARC/1.0\r\n", b"\r\n", b"\r\n\r\n", b"Content-Length: 7", b"\r\ncontent-length: 12\r\n", b"x", b"X-A: b\r\n", b"\r"]
+    for _ in range(3000):
+        data = b"".join(r.choices(bits, k=r.randint(0, 25)))
+        at = [m.start() for m in re.finditer(re.escape(warc.MAGIC), data)]
+        assert warc.successors(data, len(data)) == {i: n for i in at if (n := warc.successor(data, i)) is not None}
+    long = warc.record(7, "data:" + "%" * 200_000, b"<p>", "d" * 40, None, False)
+    assert warc.successor(long, 0) == len(long)

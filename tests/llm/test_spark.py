@@ -190,3 +190,13 @@ def test_decontamination_of_short_items(spark):
     assert leaks(spark, items, texts) == want
     left = decontamination.decontaminate(spark.createDataFrame([(1, "In Paris"), (2, "in Rome")], "doc_id bigint, text string"), spark.createDataFrame([(1, "paris")], "item_id bigint, text string"))
     assert [r["doc_id"] for r in left.collect()] == [2]
+
+
+def test_archives_with_long_urls(spark):
+    long = "data:text/html," + "%41\r\nWARC/1.0\r\n" * 13_000
+    rows = [(i, f"{long}{i}" if i % 3 == 0 else f"http://h/{i}", "x" * (i * 100)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    for size in (3_000, 100_000, warc.RANGE_BYTES):
+        root = f"{warc.shared_dir(spark)}/warc"
+        got = warc.read_archives(warc.write_archives(pages, root), root, size).collect()
+        assert sorted((r["page_id"], r["url"]) for r in got) == [(i, u) for i, u, _ in rows] and all(r["payload_ok"] for r in got)
