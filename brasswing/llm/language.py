@@ -35,6 +35,8 @@ LONGEST_PIECE = 16
 SMOOTHING = 0.05
 #: Probability of a character in no piece.
 UNKNOWN = 1e-9
+#: Log-likelihood a character (letters, and a blank mark a word) under which a text is in none of the model's languages: that of letters drawn evenly from the 140,000 of Unicode.
+LEAST = -float(np.log(140_000))
 UNDETERMINED = "und"
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -218,8 +220,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), RESULT)
 
 
+def in_languages(texts: pa.Array, model: Model, table: Table) -> np.ndarray:
+    """Whether a text has letters and its best language gives them ``LEAST`` a character at least; a model without languages rejects no letters."""
+    found = words(texts)
+    lettered = found.lengths > 0
+    if not model.languages or not len(found.codes):
+        return lettered
+    total = found.sums(table.rows(found.uniques)[found.codes]).max(axis=1)
+    characters = found.sums((np.asarray(pc.utf8_length(found.uniques), np.int64) + 1)[found.codes])
+    return lettered & (total >= LEAST * characters)
+
+
 def determined(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` whose language is determined; every column is kept and nothing is shuffled."""
+    """Rows of ``docs`` in one of the model's languages (``in_languages``); every column is kept and nothing is shuffled."""
     bounded_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -227,8 +240,7 @@ def determined(docs: DataFrame, model: Model) -> DataFrame:
         table = _table(broadcast)
         for batch in batches:
             for part in slices(batch):
-                names, _ = predict(texts_of(part), broadcast.value, table)
-                yield part.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+                yield part.filter(pa.array(in_languages(texts_of(part), broadcast.value, table), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

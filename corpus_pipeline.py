@@ -9,7 +9,7 @@ from brasswing.llm.shared import Scratch
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null, empty and letterless texts."""
+    """Drops documents without a language: null, empty and letterless texts, and texts that no language of the labels explains."""
     return language.determined(docs, language.fit(docs))
 
 

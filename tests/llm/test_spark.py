@@ -200,3 +200,13 @@ def test_archives_with_long_urls(spark):
         root = f"{warc.shared_dir(spark)}/warc"
         got = warc.read_archives(warc.write_archives(pages, root), root, size).collect()
         assert sorted((r["page_id"], r["url"]) for r in got) == [(i, u) for i, u, _ in rows] and all(r["payload_ok"] for r in got)
+
+
+def test_language_stage_decides_by_its_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    lettered = {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    more = spark.createDataFrame([(-1, "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", None), (-2, "ꦧꦱꦗꦮ ꦲꦏ꧀ꦱꦫ", None), (-3, "12 %", None), (-4, None, None)], docs.schema)
+    kept = lambda d: {r["doc_id"] for r in corpus_pipeline.language_stage(spark, d, sf_dir).collect()}
+    assert kept(docs.unionByName(more)) == lettered
+    unlabelled = docs.unionByName(more).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")
+    assert kept(unlabelled) == lettered | {-1, -2}
