@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: What the engine relies on; everything else is the cluster's own choice.
@@ -33,3 +36,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that setting is unset, a local session (tests) takes a temporary folder;
+    on a cluster that folder would not be shared, so it is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="brasswing-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
