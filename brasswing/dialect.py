@@ -39,7 +39,6 @@ def _comment_at(line: str) -> int:
     return -1
 
 
-
 def normalise_select(text: str) -> str:
     """Spark SQL for a SELECT of the dialect.
 
@@ -56,10 +55,28 @@ def normalise_select(text: str) -> str:
     text = re.sub(r",(\s*WHEN\b)", r"\1", text, flags=re.I)
     text = re.sub(r"\bBIGINTEGER\b", "BIGINT", text, flags=re.I)
     text = re.sub(r"\bAS\s+DECIMAL\s*\)", "AS DECIMAL(16,2))", text, flags=re.I)
-    text = re.sub(r"\bAS\s+CHAR\s*\(\s*\d+\s*\)\s*\)", "AS STRING)", text, flags=re.I)
+    text = _cast_to_char(text)
     return re.sub("\x00(\\d+)\x00", lambda m: masked[int(m[1])], text)
 
 
+_CAST, _TO_CHAR = re.compile(r"\bCAST\s*\($", re.I), re.compile(r"\bAS\s+CHAR\s*(?:\(\s*(\d+)\s*\))?\s*\)", re.I)
+
+
+def _cast_to_char(text: str) -> str:
+    """``CAST(x AS CHAR(n))`` as the first n characters of x as a string; n is 1 where it is left out."""
+    while m := _TO_CHAR.search(text):
+        depth, at = 1, m.start()
+        while depth and at:
+            at -= 1
+            depth += {")": 1, "(": -1}.get(text[at], 0)
+        opened = _CAST.search(text[: at + 1])
+        if depth or not opened:
+            raise ValueError("AS CHAR outside of a CAST")
+        inner = text[at + 1 : m.start()].rstrip()
+        text = f"{text[: opened.start()]}LEFT(CAST({inner} AS STRING), {m[1] or 1}){text[m.end() :]}"
+    return text
+
+
 _EXPLAIN = re.compile(
     r"EXPLAIN\s+(TASK\s+GRAPH|DATA\s+FLOW\s+GRAPH|DATA\s+FLOW|FLOUNDER|ASM|PERFORMANCE|TIMES|TASK\s+LOAD|TASK\s+TRACES|"
     r"DRAM\s+BANDWIDTH)?\s*(SELECT\b.*)",

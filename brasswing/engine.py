@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,22 +13,25 @@ from pyspark.sql.types import DataType, StructField, StructType
 from brasswing.dialect import classify, normalise_select, split_script
 from brasswing.functions.registry import default_registry
 from brasswing.plans import explain, statistics
-from brasswing.session import configure
+from brasswing.session import configure, shared_dir
 from brasswing.sources import sinks
 from brasswing.sources.delimited import read_delimited
 from brasswing.sources.store import restore, store
 
 #: Rows counted as one tile in ``.tables``.
 TILE_ROWS = 256
+#: Appends to a table's plan before it is cut.
+PLAN_APPENDS = 16
 _FIXED_BYTES = {"int": 4, "bigint": 8, "date": 4, "boolean": 1}
 
 
 class Engine:
     """Executes statements; every result is a DataFrame (or None for statements without one).
 
-    Tables are append-only DataFrames behind temporary views. An import or
-    insert unions onto the table's plan; with ``warehouse`` set, each append is
-    written there as Parquet instead, so plans stay flat and data survives.
+    Tables are append-only DataFrames behind temporary views. With ``warehouse``
+    set, a table's first append writes it to a folder of its own there and later
+    ones add files to it. Without, an append unions onto the table's plan, which is
+    cut by a checkpoint every ``PLAN_APPENDS`` appends.
     """
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None) -> None:
@@ -37,23 +41,38 @@ class Engine:
         self.statistics: dict[str, dict] = {}
         self.functions = default_registry()
         self.stopped = False
+        self._folders: dict[str, str] = {}
+        self._appends: dict[str, int] = {}
         self.functions.install(spark)
 
     # ---- catalog -------------------------------------------------------
 
     def attach(self, name: str, df: DataFrame) -> None:
         """Make ``df`` queryable as table ``name``."""
+        self._folders.pop(name, None)
+        self._appends.pop(name, None)
+        self._show(name, df)
+
+    def _show(self, name: str, df: DataFrame) -> None:
         self.tables[name] = df
         df.createOrReplaceTempView(name)
 
     def _append(self, name: str, rows: DataFrame) -> None:
         table = self._table(name)
         if self.warehouse:
-            path = f"{self.warehouse}/{name}"
-            rows.write.mode("append").parquet(path)
-            self.attach(name, self.spark.read.schema(table.schema).parquet(path))
-        else:
-            self.attach(name, self.spark.createDataFrame([], table.schema).unionByName(table).unionByName(rows))
+            if name not in self._folders:
+                folder = f"{self.warehouse}/{name}-{uuid.uuid4().hex}"
+                table.write.parquet(folder)
+                self._folders[name] = folder
+            rows.write.mode("append").parquet(self._folders[name])
+            self._show(name, self.spark.read.schema(table.schema).parquet(self._folders[name]))
+            return
+        joined = table.unionByName(rows)
+        self._appends[name] = self._appends.get(name, 0) + 1
+        if self._appends[name] % PLAN_APPENDS == 0:
+            shared_dir(self.spark)
+            joined = joined.checkpoint()
+        self._show(name, self.spark.createDataFrame([], table.schema).unionByName(joined) if joined.schema != table.schema else joined)
 
     def _table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -84,14 +103,7 @@ class Engine:
 
     def _do_explain(self, level: str, select: str) -> DataFrame:
         df = self.spark.sql(select)
-        if level == "plan":
-            lines = [explain.logical(df)]
-        elif level in ("times", "performance", "task load", "task traces", "dram bandwidth"):
-            measured = explain.phases(df) if level == "times" else explain.performance(df)
-            lines = [json.dumps(measured)]
-        else:
-            lines = [explain.text(df, "data flow graph" if level == "data flow" else level)]
-        return self.spark.createDataFrame([(x,) for x in lines], "plan string")
+        return self.spark.createDataFrame([(x,) for x in explain.lines(df, level)], "plan string")
 
     def _do_create(self, if_not_exists: bool, name: str, columns: list[dict]) -> None:
         if name in self.tables:
