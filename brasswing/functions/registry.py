@@ -1,7 +1,8 @@
 """Scalar functions by name, with typed inputs and a return type.
 
-A function is a builder from Columns to a Column, so it stays inside generated
-code; a vectorised Python function can be registered where no expression exists.
+A function is SQL text over its arguments, or else a builder from Columns to a
+Column; either way it stays inside generated code. A vectorised Python function
+can be registered as a builder where no expression exists.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ class Function:
     name: str
     inputs: tuple[str, ...]
     returns: str
-    build: Callable[..., Column]
+    sql: Callable[..., str] | None = None
+    build: Callable[..., Column] | None = None
     compute_bound: bool = False
 
 
@@ -46,48 +48,30 @@ class Registry:
         typed = [
             (F.col(a) if isinstance(a, str) else a).cast(t) for a, t in zip(arguments, function.inputs, strict=True)
         ]
+        if function.build is None:
+            return F.call_function(function.name, *typed)
         return function.build(*typed).cast(function.returns)
 
-    def install(self, spark: SparkSession) -> None:
-        """Make every function callable from SQL text as a temporary SQL function."""
+    def install(self, spark: SparkSession) -> Registry:
+        """Make every function with SQL text callable by name, in SQL and through ``call``; others only through ``call``."""
         for f in self._known.values():
+            if f.sql is None:
+                continue
             names = [f"a{i}" for i in range(len(f.inputs))]
             signature = ", ".join(f"{n} {t}" for n, t in zip(names, f.inputs, strict=True))
-            expression = sql_text(f, names)
-            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f.name}({signature}) RETURNS {f.returns} RETURN {expression}")
-
-
-def sql_text(function: Function, names: list[str]) -> str:
-    """SQL of a function over named arguments; builders marked with ``.sql`` supply it."""
-    text = getattr(function.build, "sql", None)
-    if text is None:
-        raise ValueError(f"{function.name} has no SQL form; call it through the registry")
-    return text(*names)
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f.name}({signature}) RETURNS {f.returns} RETURN {f.sql(*names)}")
+        return self
 
 
 def _steps(a: str, b: str) -> str:
-    """Fifteen steps: add b, and once more when the step or the value so far is a multiple of five."""
+    """The sample function, on cents. Fifteen steps: add b, and once more when the step or the value so far is a multiple of five."""
     return (
         f"CAST(aggregate(sequence(0, 14), CAST({a} * 100 AS BIGINT), (r, i) -> "
         f"r + CAST({b} * 100 AS BIGINT) * IF(i % 5 = 0 OR r % 5 = 0, 2, 1)) AS DECIMAL(38,0)) / 100"
     )
 
 
-def sample_test(a: Column, b: Column) -> Column:
-    """The sample function on (o_totalprice, l_extendedprice), computed on cents."""
-    cents_a, cents_b = (a * 100).cast("bigint"), (b * 100).cast("bigint")
-
-    def step(result: Column, i: Column) -> Column:
-        twice = (i % 5 == 0) | (result % 5 == 0)
-        return result + cents_b * F.when(twice, F.lit(2)).otherwise(F.lit(1))
-
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(14)), cents_a, step)
-    return total.cast("decimal(38,0)") / 100
-
-
-sample_test.sql = _steps  # type: ignore[attr-defined]
-
-TEST = Function("test", ("decimal(16,2)", "decimal(16,2)"), "decimal(16,2)", sample_test, compute_bound=True)
+TEST = Function("test", ("decimal(16,2)", "decimal(16,2)"), "decimal(16,2)", sql=_steps, compute_bound=True)
 
 
 def default_registry() -> Registry:

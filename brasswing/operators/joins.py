@@ -11,14 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest plan-estimated size of a side that is sent to every executor.
-BROADCAST_LIMIT = 64 << 20
+#: Largest plan-estimated size of a side that is sent to every executor. Estimates of scans are
+#: sizes of compressed files; rows in memory take several times that, so the bound is low.
+BROADCAST_LIMIT = 16 << 20
+#: Left rows of one key from which on a salted join deals them out.
+HOT_ROWS = 1_000_000
 
 Keys = str | Sequence[str | tuple[str, str]]
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``: an upper bound for scans, filters and projections."""
+    """The optimizer's size estimate of ``df``, from compressed file sizes; filters do not lower it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -88,15 +91,21 @@ def exists(left: DataFrame, right: DataFrame, on: Keys, residual: Column | None
     return left.join(right, condition if residual is None else condition & residual, "left_semi")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Equi-join for a ``left`` in which one key holds a large share of the rows.
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Equi-join for a ``left`` in which a few keys hold a large share of the rows.
 
-    ``left`` rows of a key are spread over ``salts`` partitions; ``right`` is
-    repeated once per salt, so ``right`` should hold few rows per key.
+    Keys with more than ``hot_rows`` left rows are counted first. Only their rows are
+    spread over ``salts`` partitions, and only their rows of ``right`` are repeated
+    once a salt; all other rows have salt 0. There are at most |left| / ``hot_rows`` hot
+    keys, a hundred thousand in 10^11 rows, so they are sent to every executor.
     """
-    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)))
-    copies = right.withColumnRenamed(key, "__key").withColumn(
-        "__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-    )
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > hot_rows) & F.col(key).isNotNull())
+    hot = F.broadcast(hot.select(F.col(key).alias("__hot")))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    spread = left.join(hot, left[key] == hot["__hot"], "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), salt).otherwise(F.lit(0))).drop("__hot")
+    renamed = right.withColumnRenamed(key, "__key")
+    copies = renamed.join(hot, renamed["__key"] == hot["__hot"], "left")
+    each = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = copies.withColumn("__salt_r", F.explode(each)).drop("__hot")
     joined = spread.join(copies, (spread[key] == copies["__key"]) & (spread["__salt"] == copies["__salt_r"]))
     return joined.drop("__salt", "__salt_r", "__key")

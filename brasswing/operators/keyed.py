@@ -8,10 +8,10 @@ Rows with a null key are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-MISSING = "missing"
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def _one_per_key(batch: DataFrame, last: bool) -> DataFrame:
@@ -59,8 +59,31 @@ def parse_workload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replay(table: DataFrame, workload: DataFrame, value: str = "key") -> tuple[DataFrame, DataFrame]:
-    """Apply one phase as a batch: inserts, then updates, then reads. Returns (table, reads)."""
-    rows = workload.withColumn("value", F.col(value))
-    part = lambda op: rows.filter(F.col("op") == op)
-    table = update(insert(table, part("INSERT")), part("UPDATE"))
-    return table, lookup(table, part("READ"))
+    """Apply the operations of one phase in the order of ``seq``. Returns (table, reads).
+
+    An INSERT of a held key and an UPDATE of an absent one change nothing. ``reads`` has
+    (seq, key, value, found) per READ, as of its place in the order. Keys are
+    independent, so the order is kept within each key, over rows sorted by it.
+    """
+    held = table.select("key", F.lit(None).cast("bigint").alias("seq"), F.lit("INSERT").alias("op"), F.col("value"))
+    asked = workload.filter("key IS NOT NULL").select("key", "seq", "op", F.col(value).cast(table.schema["value"].dataType).alias("value"))
+    # Rows of the table come first: their seq is null.
+    order = Window.partitionBy("key").orderBy(F.col("seq").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.coalesce(F.sum((F.col("op") == "INSERT").cast("int")).over(order), F.lit(0))
+    rows = held.unionByName(asked).withColumn("inserts", first)
+    writes = ((F.col("op") == "INSERT") & (F.col("inserts") == 1)) | ((F.col("op") == "UPDATE") & (F.col("inserts") > 0))
+    now = F.last(F.when(writes, F.struct("value")), ignorenulls=True).over(order)
+    rows = rows.withColumn("now", now)
+    reads = rows.filter("op = 'READ'").select("seq", "key", F.col("now.value").alias("value"), F.col("now").isNotNull().alias("found"))
+    last = F.max_by("now", F.coalesce("seq", F.lit(-(2**63))))
+    after = rows.groupBy("key").agg(last.alias("now")).filter("now IS NOT NULL").select("key", F.col("now.value").alias("value"))
+    return after, reads
+
+
+def replay_phases(table: DataFrame, phases: Sequence[DataFrame], value: str = "key") -> tuple[DataFrame, list[DataFrame]]:
+    """Apply phases (fill, then mixed) one after the other. Returns (table, reads of each phase)."""
+    reads = []
+    for phase in phases:
+        table, found = replay(table, phase, value)
+        reads.append(found)
+    return table, reads

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_TUPLE = r"^(-?\d+)\D(-?\d+)"
+
+
 def read_relation(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of two integers with one separating character: (key, payload)."""
-    parts = F.regexp_extract
-    return spark.read.text(path).select(
-        parts("value", r"^(\d+)", 1).cast("bigint").alias("key"),
-        parts("value", r"^\d+.(\d+)", 1).cast("bigint").alias("payload"),
-    )
+    """Text lines of two integers with one separating character: (key, payload). Other lines are skipped."""
+    lines = spark.read.text(path).filter(F.col("value").rlike(_TUPLE))
+    return lines.select(*[F.regexp_extract("value", _TUPLE, i + 1).cast("bigint").alias(name) for i, name in enumerate(("key", "payload"))])
 
 
 def radix_partition(df: DataFrame, key: str = "key", bits: int = 10) -> DataFrame:
@@ -26,3 +26,17 @@ def partition_totals(df: DataFrame, key: str = "key", bits: int = 10) -> DataFra
         F.count("*").alias("n"), F.sum(F.col(key).cast("decimal(38,0)")).alias("s")
     )
     return per_part.agg(F.sum("n").alias("n_rows"), F.sum("s").cast("bigint").alias("key_sum"))
+
+
+def split_keys(df: DataFrame, key: str = "key", bits: int = 10) -> DataFrame:
+    """(n_keys, n_split, in_range): distinct keys, those in more than one partition, and whether all partitions are below 2^bits."""
+    per_key = radix_partition(df, key, bits).groupBy(key).agg(F.min("partition").alias("low"), F.max("partition").alias("high"))
+    inside = (F.min("low") >= 0) & (F.max("high") < (1 << bits))
+    return per_key.agg(F.count("*").alias("n_keys"), F.sum((F.col("low") != F.col("high")).cast("bigint")).alias("n_split"), inside.alias("in_range"))
+
+
+def partitioned_join(build: DataFrame, probe: DataFrame, bits: int = 10) -> DataFrame:
+    """(key, build_payload, probe_payload): both relations dealt by key into 2^bits partitions, joined partition by partition without another exchange."""
+    left = build.select("key", F.col("payload").alias("build_payload")).repartition(1 << bits, "key")
+    right = probe.select("key", F.col("payload").alias("probe_payload")).repartition(1 << bits, "key")
+    return right.join(left.hint("shuffle_hash"), "key").select("key", "build_payload", "probe_payload")

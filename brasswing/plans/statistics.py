@@ -6,7 +6,7 @@ reaches the driver does not grow with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType, IntegerType, LongType, StringType
 
@@ -25,37 +25,63 @@ def column_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def equi_depth(df: DataFrame, column: str, bins: int = BINS) -> list[tuple[float, float, float]]:
-    """Bins (low, high, rows) of about equal depth from approximate quantiles."""
-    fractions = [i / bins for i in range(bins + 1)]
+def _quantiles(df: DataFrame, column: str, bins: int):
+    """(n, q): number of values and approximate quantiles of a column, dates as days."""
     value = F.unix_date(column) if isinstance(df.schema[column].dataType, DateType) else F.col(column)
-    row = df.agg(
-        F.count(column).alias("n"), F.percentile_approx(value.cast("double"), fractions, 10 * bins).alias("q")
-    ).first()
+    quantiles = F.percentile_approx(value.cast("double"), [i / bins for i in range(bins + 1)], 10 * bins)
+    return F.struct(F.count(column).alias("n"), quantiles.alias("q"))
+
+
+def _bins(row, bins: int) -> list[tuple[float, float, float]]:
     if not row["n"]:
         return []
-    depth = row["n"] / bins
-    return [(row["q"][i], row["q"][i + 1], depth) for i in range(bins)]
+    return [(row["q"][i], row["q"][i + 1], row["n"] / bins) for i in range(bins)]
+
+
+def equi_depth(df: DataFrame, column: str, bins: int = BINS) -> list[tuple[float, float, float]]:
+    """Bins (low, high, rows) of about equal depth from approximate quantiles."""
+    return _bins(df.agg(_quantiles(df, column, bins).alias("s")).first()["s"], bins)
+
+
+def singletons(df: DataFrame, columns: list[str], limit: int = SINGLETON_LIMIT) -> dict[str, dict | None]:
+    """Per column, value to count, or None beyond ``limit`` distinct values; one pass over the table for all columns."""
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)]))
+    counts = df.select(cells.alias("c")).filter("c.v IS NOT NULL").groupBy("c.i", "c.v").count()
+    # At most limit + 1 counts a column reach the driver.
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v"))).filter(F.col("r") <= limit + 1)
+    out: dict[str, dict | None] = {c: {} for c in columns}
+    for row in ranked.collect():
+        if (held := out[columns[row["i"]]]) is not None:
+            held[row["v"]] = row["count"]
+    return {c: None if len(v) > limit else v for c, v in out.items()}
 
 
 def singleton(df: DataFrame, column: str, limit: int = SINGLETON_LIMIT) -> dict | None:
     """Value to count, or None beyond ``limit`` distinct values."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count().limit(limit + 1).collect()
-    return None if len(counts) > limit else {str(r[0]): r["count"] for r in counts}
+    return singletons(df, [column], limit)[column]
 
 
 def analyse(df: DataFrame, bins: int = BINS) -> dict:
-    """All statistics of one table as a JSON-ready dictionary."""
-    out: dict = {"n_rows": 0, "columns": {}}
-    for row in column_stats(df).collect():
-        out["n_rows"] = row["n_rows"]
-        kind = df.schema[row["column"]].dataType
-        entry: dict = {"n_distinct": row["n_distinct"]}
-        if isinstance(kind, IntegerType | LongType | DecimalType | DateType):
-            entry["equi_depth"] = equi_depth(df, row["column"], bins)
-        elif isinstance(kind, BooleanType) or (isinstance(kind, StringType) and row["n_distinct"] <= SINGLETON_LIMIT):
-            entry["singleton"] = singleton(df, row["column"])
-        out["columns"][row["column"]] = entry
+    """All statistics of one table as a JSON-ready dictionary: one pass for counts and quantiles, one for counts by value."""
+    wanted = [F.count(F.lit(1)).alias("n")]
+    for i, field in enumerate(df.schema.fields):
+        wanted.append(F.approx_count_distinct(field.name).alias(f"d{i}"))
+        if isinstance(field.dataType, IntegerType | LongType | DecimalType | DateType):
+            wanted.append(_quantiles(df, field.name, bins).alias(f"q{i}"))
+    row = df.agg(*wanted).first()
+    out: dict = {"n_rows": row["n"], "columns": {}}
+    listed = []
+    for i, field in enumerate(df.schema.fields):
+        entry: dict = {"n_distinct": row[f"d{i}"]}
+        if f"q{i}" in row:
+            entry["equi_depth"] = _bins(row[f"q{i}"], bins)
+        elif isinstance(field.dataType, BooleanType) or (isinstance(field.dataType, StringType) and row[f"d{i}"] <= SINGLETON_LIMIT):
+            listed.append(field.name)
+        out["columns"][field.name] = entry
+    for name, found in singletons(df, listed).items():
+        out["columns"][name]["singleton"] = found
     return out
 
 
