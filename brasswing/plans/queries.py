@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brasswing.engine import Engine
 from brasswing.functions.registry import default_registry
 from brasswing.operators import aggregates as A
 from brasswing.operators import expressions as X
 from brasswing.operators import joins as J
 from brasswing.operators import keyed, ordering, partitioning
 from brasswing.plans import statistics
+from brasswing.session import shared_dir
 from brasswing.tables import load, oracle_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +55,6 @@ def _simple(name: str, table: str, plan: Callable[[DataFrame], DataFrame], sql:
 
 
 
-
 def price() -> Column:
     """Discounted price of a line."""
     return c("l_extendedprice") * (F.lit(1) - c("l_discount"))
@@ -280,7 +281,7 @@ def join_residual_theta(spark: SparkSession, d: str) -> DataFrame:
 def join_salted(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     orders = load(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    return A.grouped(J.salted_join(lines, orders, "l_orderkey"), ["o_orderpriority"], F.count("*").alias("n"))
+    return A.grouped(J.salted_join(lines, orders, "l_orderkey", hot_rows=6), ["o_orderpriority"], F.count("*").alias("n"))
 
 
 @query("cross_small", "SELECT r_name, n_name FROM region, nation")
@@ -336,15 +337,45 @@ def histogram_singleton(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(found.items()), "value string, n bigint")
 
 
+@query("column_stats_close", " UNION ALL ".join(f"SELECT '{n}' AS attribute, COUNT(*) AS n_rows, TRUE AS close FROM orders" for n in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+def column_stats_close(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the distinct counts are within 15 % (three standard errors) of the exact ones."""
+    orders = load(spark, d, "orders")
+    exact = orders.agg(*[F.count_distinct(n).alias(n) for n in orders.columns])
+    pairs = exact.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), c(n).alias("exact")) for n in orders.columns])).alias("e")).select("e.*")
+    return statistics.column_stats(orders).join(pairs, "column").select(c("column").alias("attribute"), "n_rows", (F.abs(c("n_distinct") - c("exact")) <= 0.15 * c("exact")).alias("close"))
+
+
+@query("histogram_equidepth_ranks", "SELECT 256 AS bins, COUNT(*) AS n_rows, CAST(MIN(o_totalprice) AS DOUBLE) AS low, CAST(MAX(o_totalprice) AS DOUBLE) AS high, CAST(256 AS BIGINT) AS n_close FROM {orders}")
+def histogram_equidepth_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Bins of the equi-depth histogram whose upper bound has the rank it should have, within a thousandth of the rows."""
+    orders = load(spark, d, "orders")
+    found = statistics.equi_depth(orders, "o_totalprice")
+    n = F.count(F.lit(1))
+    ranks = orders.agg(n.alias("n_rows"), *[F.sum((c("o_totalprice").cast("double") <= high).cast("bigint")).alias(f"r{i}") for i, (_, high, _) in enumerate(found)])
+    close = F.lit(0).cast("bigint")
+    for i in range(len(found)):
+        close = close + (F.abs(c(f"r{i}") - c("n_rows") * (i + 1) / len(found)) <= c("n_rows") / 1000 + 1).cast("bigint")
+    return ranks.select(F.lit(len(found)).alias("bins"), "n_rows", F.lit(found[0][0]).alias("low"), F.lit(found[-1][1]).alias("high"), close.alias("n_close"))
+
+
 @query("histogram_equidepth")
 def histogram_equidepth(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(statistics.equi_depth(load(spark, d, "orders"), "o_totalprice"), "low double, high double, depth double")
 
 
-@query("udf_test")
+def _test_sql() -> str:
+    """The fifteen steps of ``test`` on cents, one sub-select a step."""
+    sql = "SELECT l_orderkey, l_linenumber, CAST(o_totalprice * 100 AS BIGINT) AS r, CAST(l_extendedprice * 100 AS BIGINT) AS b FROM {lineitem} l JOIN {orders} o ON l_orderkey = o_orderkey"
+    for i in range(15):
+        sql = f"SELECT l_orderkey, l_linenumber, r + b * CASE WHEN {i} % 5 = 0 OR r % 5 = 0 THEN 2 ELSE 1 END AS r, b FROM ({sql})"
+    return f"SELECT l_orderkey, l_linenumber, CAST(CAST(r AS DECIMAL(18,0)) * 0.01 AS DECIMAL(16,2)) AS test FROM ({sql})"
+
+
+@query("udf_test", _test_sql())
 def udf_test(spark: SparkSession, d: str) -> DataFrame:
     joined = J.equi_join(load(spark, d, "lineitem"), load(spark, d, "orders"), [("l_orderkey", "o_orderkey")])
-    return joined.select("l_orderkey", "l_linenumber", default_registry().call("test", "o_totalprice", "l_extendedprice").alias("test"))
+    return joined.select("l_orderkey", "l_linenumber", default_registry().install(spark).call("test", "o_totalprice", "l_extendedprice").alias("test"))
 
 
 def _keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -363,3 +394,165 @@ query("kv_update_missing", "SELECT c_custkey AS key FROM customer WHERE c_custke
 @query("radix_partition_check", "SELECT COUNT(*) AS n_rows, CAST(SUM(l_orderkey) AS BIGINT) AS key_sum FROM lineitem")
 def radix_partition_check(spark: SparkSession, d: str) -> DataFrame:
     return partitioning.partition_totals(load(spark, d, "lineitem"), "l_orderkey").withColumn("n_rows", c("n_rows").cast("bigint"))
+
+
+# Deal customers as a fill phase and orders as a mixed phase of operations, in the order of seq.
+_REPLAY = """
+    WITH ops AS (
+      SELECT c_custkey AS key, -2000000000 + c_custkey AS seq, 'INSERT' AS op, c_custkey * 10 AS value FROM customer WHERE c_custkey % 3 <> 0
+      UNION ALL
+      SELECT o_custkey, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' ELSE 'READ' END, o_orderkey FROM orders),
+    born AS (SELECT *, SUM(CASE WHEN op = 'INSERT' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS inserts FROM ops),
+    written AS (SELECT *, CASE WHEN (op = 'INSERT' AND inserts = 1) OR (op = 'UPDATE' AND inserts > 0) THEN value END AS w FROM born),
+    now AS (SELECT *, LAST_VALUE(w IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM written)"""
+
+
+def _phases(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
+    customers, orders = load(spark, d, "customer"), load(spark, d, "orders")
+    fill = customers.filter(c("c_custkey") % 3 != 0).select(c("c_custkey").alias("key"), c("c_custkey").alias("seq"), F.lit("INSERT").alias("op"), (c("c_custkey") * 10).alias("value"))
+    turn = c("o_orderkey") % 4
+    mixed = orders.select(c("o_custkey").alias("key"), c("o_orderkey").alias("seq"), F.when(turn == 0, "INSERT").when(turn == 1, "UPDATE").otherwise("READ").alias("op"), c("o_orderkey").alias("value"))
+    return spark.createDataFrame([], "key bigint, value bigint"), [fill, mixed]
+
+
+@query("kv_replay_reads", f"{_REPLAY} SELECT seq, key, v AS value, v IS NOT NULL AS found FROM now WHERE op = 'READ'")
+def kv_replay_reads(spark: SparkSession, d: str) -> DataFrame:
+    table, phases = _phases(spark, d)
+    return keyed.replay_phases(table, phases, "value")[1][1]
+
+
+@query("kv_replay_table", f"{_REPLAY} SELECT key, ARG_MAX(v, seq) AS value FROM now WHERE v IS NOT NULL GROUP BY key")
+def kv_replay_table(spark: SparkSession, d: str) -> DataFrame:
+    table, phases = _phases(spark, d)
+    return keyed.replay_phases(table, phases, "value")[0]
+
+
+@query("radix_keys_together", "SELECT COUNT(DISTINCT l_orderkey) AS n_keys, CAST(0 AS BIGINT) AS n_split, TRUE AS in_range FROM lineitem")
+def radix_keys_together(spark: SparkSession, d: str) -> DataFrame:
+    return partitioning.split_keys(load(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("radix_join_text", "SELECT o_custkey AS key, c_nationkey AS build_payload, o_orderkey AS probe_payload FROM orders JOIN customer ON o_custkey = c_custkey")
+def radix_join_text(spark: SparkSession, d: str) -> DataFrame:
+    """The two relations as text files, read back, partitioned and joined."""
+    root = shared_dir(spark)
+    load(spark, d, "customer").select(F.concat_ws(" ", "c_custkey", "c_nationkey")).write.text(f"{root}/R.tbl")
+    load(spark, d, "orders").select(F.concat_ws("|", "o_custkey", "o_orderkey")).write.text(f"{root}/S.tbl")
+    joined = partitioning.partitioned_join(partitioning.read_relation(spark, f"{root}/R.tbl"), partitioning.read_relation(spark, f"{root}/S.tbl"), bits=4)
+    return joined.withColumn("build_payload", c("build_payload").cast("int"))
+
+
+# ---- statements and commands, through the engine --------------------------------------
+
+
+def _engine(spark: SparkSession, d: str, *names: str) -> Engine:
+    engine = Engine(spark)
+    for name in names:
+        engine.attach(name, load(spark, d, name))
+    return engine
+
+
+_LISTED = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+@query("engine_tables", " UNION ALL ".join(f"""SELECT '{n}' AS "Table", CAST(ceil(COUNT(*) / 256.0) AS BIGINT) AS "#Tiles", COUNT(*) AS "#Records" FROM {n}""" for n in _LISTED))
+def engine_tables(spark: SparkSession, d: str) -> DataFrame:
+    engine = _engine(spark, d, *_LISTED)
+    for name in _LISTED:
+        engine.execute(f".update statistics {name}")
+    return engine.execute(".tables")
+
+
+_PART_DDL = "create table parts (id int primary key, name char(12), price decimal, since date, sold bool null, note char(5) null)"
+
+
+@query(
+    "engine_describe",
+    """SELECT * FROM (VALUES ('id', 'INT', FALSE, TRUE, CAST(4 AS BIGINT)), ('name', 'CHAR(12)', FALSE, FALSE, 12), ('price', 'DECIMAL', FALSE, FALSE, 8),
+    ('since', 'DATE', FALSE, FALSE, 4), ('sold', 'BOOL', TRUE, FALSE, 1), ('note', 'CHAR(5)', TRUE, FALSE, 5)) AS t("Attribute", "Type", "Is Null", "Primary Key", "Length (Byte)")""",
+)
+def engine_describe(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.execute(_PART_DDL)
+    return engine.execute(".table parts")
+
+
+@query(
+    "engine_insert",
+    """SELECT * FROM (VALUES (1, 'bolt', CAST(2.5 AS DECIMAL(16,2)), DATE '1996-02-29', TRUE, 'short'), (2, 'nut', CAST(0.1 AS DECIMAL(16,2)), DATE '1997-01-01', FALSE, NULL),
+    (3, 'washer; flat', CAST(7 AS DECIMAL(16,2)), NULL, NULL, 'trunc')) AS t(id, name, price, since, sold, note)""",
+)
+def engine_insert(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    script = f"""{_PART_DDL}; create table if not exists parts (x int); -- the second is ignored
+    insert into parts values (1, 'bolt', 2.5, date '1996-02-29', true, 'short'), (2, 'nut', 0.1, date '1997-01-01', false, null);
+    insert into parts (note, price, id, name) values ('truncated', 7, 3, 'washer; flat'); select * from parts"""
+    return engine.run_script(script)[-1]
+
+
+_ORDERS_DDL = "create table orders2 (o_orderkey bigint primary key, o_custkey bigint, o_orderstatus char(1), o_totalprice decimal, o_orderdate date, o_orderpriority char(6))"
+_IMPORTED = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, SUBSTRING(o_orderpriority, 1, 6) AS o_orderpriority FROM {orders}"
+
+
+def _as_text(spark: SparkSession, d: str, separator: str) -> str:
+    """Orders as delimited text with a closing separator, and one row that is too short; its path."""
+    path = f"{shared_dir(spark)}/orders"
+    rows = load(spark, d, "orders").select(F.concat(F.concat_ws(separator, *load(spark, d, "orders").columns), F.lit(separator)).alias("value"))
+    rows.unionByName(spark.createDataFrame([(f"1{separator}2",)], "value string")).write.text(path)
+    return path
+
+
+@query("engine_copy", _IMPORTED)
+def engine_copy(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.execute(_ORDERS_DDL)
+    engine.execute(f"copy orders2 from '{_as_text(spark, d, '|')}' with (delimiter '|')")
+    return engine.execute("select * from orders2")
+
+
+@query("engine_import", _IMPORTED)
+def engine_import(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.execute(_ORDERS_DDL)
+    engine.execute(f".import csv '{_as_text(spark, d, ';')}' into orders2 separated by ';'")
+    return engine.execute("select * from orders2")
+
+
+@query("engine_load_script", "SELECT n_regionkey AS k, COUNT(*) AS n FROM nation WHERE n_nationkey < 20 GROUP BY n_regionkey")
+def engine_load_script(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/script.sql"
+    text = "select 1 as one; -- the last result counts\nselect n_regionkey as k, count(*) as n from nation\nwhere n_nationkey < 20 group by n_regionkey;"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return _engine(spark, d, "nation").execute(f".load file '{path}'")
+
+
+@query("engine_store_restore", "SELECT * FROM nation UNION ALL SELECT * FROM (VALUES (100, 'ELSEWHERE', 7), (101, 'NOWHERE', NULL))")
+def engine_store_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Stored, restored, added to, stored onto the same path and restored again."""
+    path, engine = shared_dir(spark), _engine(spark, d, "nation")
+    engine.execute("insert into nation values (100, 'ELSEWHERE', 7)")
+    engine.execute(f".store '{path}'")
+    other = Engine(spark)
+    other.run_script(f".restore '{path}'; insert into nation (n_name, n_nationkey) values ('NOWHERE', 101); .store '{path}'")
+    last = Engine(spark)
+    last.execute(f".restore '{path}'")
+    return last.execute("select * from nation")
+
+
+@query("engine_warehouse_append", "SELECT * FROM region UNION ALL SELECT * FROM (VALUES (100, 'A'), (101, 'B'))")
+def engine_warehouse_append(spark: SparkSession, d: str) -> DataFrame:
+    """Appends to an attached table, with a warehouse."""
+    engine = Engine(spark, warehouse=shared_dir(spark))
+    engine.attach("region", load(spark, d, "region"))
+    engine.run_script("insert into region values (100, 'A'); insert into region values (101, 'B')")
+    return engine.execute("select * from region")
+
+
+@query("engine_case_commas", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small, when' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class FROM part")
+def engine_case_commas(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d, "part").execute("select p_partkey, case when p_size < 10 then 'small, when', when p_size < 30 then 'medium' else 'large' end as class from part")
+
+
+@query("engine_cast_char", "SELECT p_partkey, LEFT(p_type, 3) AS t3, LEFT(CAST(p_size AS VARCHAR), 1) AS s1, LEFT(CAST(p_retailprice AS VARCHAR), 4) AS r4 FROM {part}")
+def engine_cast_char(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d, "part").execute("select p_partkey, cast(p_type as char(3)) as t3, cast(p_size as char) as s1, cast(cast(p_retailprice as char(9)) as char(4)) as r4 from part")
