@@ -10,20 +10,24 @@
 3. Stars: every list has a hub, its document with the most collisions overall. A
    document joins the hub that it meets most often, if enough coordinates are equal;
    the full sets are compared once, and what each lacks of the other is kept.
-4. Inside a star two documents are compared exactly by these differences, and
-   only where one of them is not linked to the hub and bounds on sizes allow a link.
-5. Lists that still hold several components: documents of different stars meet,
-   those outside the list's largest component with all of the list, by equal
-   coordinates, and are confirmed on full sets.
-
-No link between two classes is lost: a pair that shares a list is compared in
-step 4 or 5 unless confirmed links join it already. Pairs that fail a
-comparison are never written out.
+   Documents without a link then form stars among themselves in the same way.
+4. Inside a star, documents that are still in different components are compared
+   exactly by their differences from the hub, where one of them is not linked to the
+   hub and bounds on sizes allow a link.
+5. Lists that still hold several components: documents of different stars and
+   different components meet, those outside the list's largest component with all
+   of the list. Sizes and a signature of ``BITS`` one-bit coordinates decide which
+   pairs are confirmed on full sets.
+
+No link between two classes is lost, but for the chances named: a pair that shares
+a list is compared in step 3, 4 or 5 unless confirmed links join it already.
+Pairs that fail a bound or a signature are never written out. Steps 4 and 5 look at
+pairs within a list or star block by block, so no task takes a large group alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from brasswing.llm.components import components
 from brasswing.llm.pieces import PLACES, Table, kept, mix, slices, texts_of, window_hashes, words
-from brasswing.llm.shared import Scratch, pick
+from brasswing.llm.shared import Scratch, bounded_batches, broadcast_if_few, key_filter, pick, unused
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two documents.
@@ -43,16 +47,22 @@ COORDINATES = 32
 #: Equal coordinates a candidate needs. At similarity 0.75 fewer than 12 of 32 has a chance of about 1e-6.
 MATCHES = 12
 PREFIX = COORDINATES - MATCHES + 1
-#: Documents of a star that one task compares with those not linked to its hub.
+#: Documents of a star or list that one task compares with those outside its main component.
 STAR_BLOCK = 256
+#: Texts that one task compares with their hub.
+TEXT_BLOCK = 256
+#: One-bit coordinates, and how many may differ. At similarity 0.75 an eighth of 1024 does; 184 or more with a chance of about 1e-7.
+BITS, DIFFERENT = 1024, 184
 
-_A = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_B = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-#: Places for texts shorter than a shingle, told apart from those of shingles.
-_SHORT = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
-SKETCH = "key bigint, n_shingles bigint, h1 bigint, h2 bigint, signature array<bigint>"
+def _coefficients(n: int, seed: int) -> np.ndarray:
+    return (mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(seed)) | np.uint64(1))[:, None]
+
 
+_A, _B = _coefficients(COORDINATES, 0x9E3779B97F4A7C15), _coefficients(COORDINATES, 0xC2B2AE3D27D4EB4F)
+_BIT_A, _BIT_B = _coefficients(BITS, 0xD6E8FEB86659FD93), _coefficients(BITS, 0xA0761D6478BD642F)
+#: Places for texts shorter than a shingle, told apart from those of shingles.
+_SHORT = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 def _hash_words(names: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) for n in names], np.uint64)
@@ -76,35 +86,50 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _least(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per hash function the least value over the set."""
+    step = max(1, (1 << 17) // len(a))
+    least = np.full(len(a), np.uint64(2**64 - 1))
+    for i in range(0, len(shingles), step):
+        least = np.minimum(least, (shingles[None, i : i + step] * a + b).min(axis=1))
+    return least
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Per coordinate the least of its hash over the set, with the coordinate's number in the top bits."""
-    least = np.full(COORDINATES, np.uint64(2**64 - 1))
-    for a in range(0, len(shingles), 4096):
-        part = shingles[a : a + 4096]
-        least = np.minimum(least, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1))
     number = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(58)
-    return ((least >> np.uint64(6)) | number).view(np.int64)
+    return ((_least(shingles, _A, _B) >> np.uint64(6)) | number).view(np.int64)
+
+
+def bit_signature(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` coordinates of one bit each: two sets differ in half of those whose least hashes differ."""
+    return np.packbits((mix(_least(shingles, _BIT_A, _BIT_B)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            sets = shingle_sets(texts_of(part))
-            names, counts, firsts, seconds, signatures = part.column("key"), [], [], [], []
-            for s in sets:
+            counts, firsts, seconds, signatures = [], [], [], []
+            for s in shingle_sets(texts_of(part)):
                 digest = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), ">i8")
                 counts.append(len(s))
                 firsts.append(int(digest[0]))
                 seconds.append(int(digest[1]))
                 signatures.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [names, pa.array(counts, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))],
-                names=["key", "n_shingles", "h1", "h2", "signature"],
+                [part.column("doc_id"), part.column("key"), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n_shingles", "h1", "h2", "signature"],
             )
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([bit_signature(s) for s in shingle_sets(texts_of(part))], pa.list_(pa.int64()))], names=["id", "bits"])
+
+
 def row_key() -> Column:
-    """Identity of a row by doc_id and text; equal rows share it."""
+    """64-bit hash of doc_id and text. With doc_id beside it, it is the identity of a row; equal rows share it."""
     return F.xxhash64(F.col("doc_id"), F.lit("/"), F.col("text"))
 
 
@@ -113,24 +138,34 @@ def matches(left: str, right: str) -> Column:
     return F.size(F.array_intersect(left, right))
 
 
+def different(left: str, right: str) -> Column:
+    """Differing coordinates of two bit signatures."""
+    out = F.lit(0)
+    for i in range(BITS // 64):
+        out = out + F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))))
+    return out
+
+
 COMPARED = "a bigint, b bigint, size_a bigint, size_b bigint, common bigint, lacking array<bigint>, added array<bigint>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes, common shingles and differences of pairs; rows arrive with the second key in order, so its set is kept."""
-    last_key, last_set = None, None
+    """Sizes, common shingles and differences of members (id) and their hub (hub), whose text comes first in its block and is kept."""
+    hub, hub_set = None, np.zeros(0, np.uint64)
     for batch in batches:
-        for part in slices(batch, "text_a"):
-            lefts = shingle_sets(texts_of(part, "text_a"))
+        for part in slices(batch):
             rows: list[tuple] = []
-            for i, (key, left) in enumerate(zip(part.column("b").to_pylist(), lefts, strict=True)):
-                if key != last_key:
-                    last_key, last_set = key, shingle_sets(texts_of(part.slice(i, 1), "text_b"))[0]
-                lacking, added = np.setdiff1d(last_set, left, assume_unique=True), np.setdiff1d(left, last_set, assume_unique=True)
-                rows.append((len(left), len(last_set), len(left) - len(added), lacking.view(np.int64), added.view(np.int64)))
-            sizes = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-            differences = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4)]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *sizes, *differences], names=["a", "b", "size_a", "size_b", "common", "lacking", "added"])
+            for member, of, found in zip(part.column("id").to_pylist(), part.column("hub").to_pylist(), shingle_sets(texts_of(part)), strict=True):
+                if member == of:
+                    hub, hub_set = of, found
+                    continue
+                if hub != of:
+                    raise ValueError(f"no text of {of} before that of {member}")
+                lacking, added = np.setdiff1d(hub_set, found, assume_unique=True), np.setdiff1d(found, hub_set, assume_unique=True)
+                rows.append((member, of, len(found), len(hub_set), len(found) - len(added), lacking.view(np.int64), added.view(np.int64)))
+            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
+            differences = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (5, 6)]
+            yield pa.RecordBatch.from_arrays([*numbers, *differences], names=["a", "b", "size_a", "size_b", "common", "lacking", "added"])
 
 
 def similar(common: Column, size_a: Column, size_b: Column) -> Column:
@@ -138,16 +173,41 @@ def similar(common: Column, size_a: Column, size_b: Column) -> Column:
     return (100 + PERCENT) * common >= PERCENT * (size_a + size_b)
 
 
-def compare(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each of ``pairs`` (a, b) compared on the full sets of both texts."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    rows = docs.select(row_key().alias("key"), "text").join(needed, "key", "left_semi")
-    texts = scratch.table(rows.dropDuplicates(["key"]))
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    out = scratch.table(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compare, COMPARED))
-    scratch.drop(texts)
-    return out
+def linked(compared: DataFrame) -> Column:
+    return similar(compared["common"], compared["size_a"], compared["size_b"])
+
+
+def _blocks(n: Column, size: int) -> Column:
+    return F.ceil(n / size).cast("bigint")
+
+
+def _spread(blocks: str) -> Column:
+    """One row a block."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+
+
+class Texts:
+    """Texts of chosen representatives. ``rows`` is (doc_id, key, text) of all documents, ``names`` (id, doc_id, key) of the representatives."""
+
+    def __init__(self, scratch: Scratch, rows: DataFrame, names: DataFrame) -> None:
+        self.scratch, self.rows, self.names = scratch, rows, names
+
+    def of(self, roles: DataFrame) -> DataFrame:
+        """``roles`` (id and more) with the text of each id; only rows that a key filter lets through are exchanged."""
+        named = self.scratch.table(roles.join(self.names, "id"))
+        wanted = key_filter(self.scratch, named.select("key"))(self.rows, "wanted").filter("wanted").drop("wanted")
+        asked = named.withColumnsRenamed({"doc_id": "asked_id", "key": "asked_key"})
+        single = wanted.dropDuplicates(["doc_id", "key"])
+        return single.join(asked, (F.col("key") == F.col("asked_key")) & F.col("doc_id").eqNullSafe(F.col("asked_id"))).select(*roles.columns, "text")
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """Each of ``pairs`` (a, b) compared on the full sets of both texts; b's text goes to every block of its pairs once."""
+        blocks = self.scratch.table(pairs.groupBy("b").agg(_blocks(F.count(F.lit(1)), TEXT_BLOCK).alias("blocks")))
+        members = pairs.join(broadcast_if_few(blocks), "b").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
+        hubs = blocks.select(F.col("b").alias("id"), F.col("b").alias("hub"), _spread("blocks").alias("block"))
+        texts = self.of(members.unionByName(hubs))
+        dealt = texts.repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("id") != F.col("hub"))
+        return self.scratch.table(dealt.select("id", "hub", "text").mapInArrow(_compare, COMPARED))
 
 
 def _postings(scratch: Scratch, representatives: DataFrame) -> DataFrame:
@@ -155,76 +215,106 @@ def _postings(scratch: Scratch, representatives: DataFrame) -> DataFrame:
 
     ``rank`` counts the documents behind all its values: the most typical document of a list ranks highest.
     """
-    tokens = representatives.select("key", F.explode("signature").alias("token"))
+    tokens = representatives.select("id", F.explode("signature").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"), F.sum("n").alias("rank"))
+    held = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"), F.sum("n").alias("rank"))
     places = F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("held"))
-    chosen = held.filter(places > 0).select("key", "rank", F.explode(F.slice("held", F.lit(1), places)).alias("t"))
-    return scratch.table(chosen.select(F.col("t.token").alias("token"), "key", "rank"))
+    chosen = held.filter(places > 0).select("id", "rank", F.explode(F.slice("held", F.lit(1), places)).alias("t"))
+    return scratch.table(chosen.select(F.col("t.token").alias("token"), "id", "rank"))
 
 
-def _candidates(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs with enough equal coordinates."""
-    a = signatures.select(F.col("key").alias("a"), F.col("signature").alias("sa"))
-    b = signatures.select(F.col("key").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").filter(matches("sa", "sb") >= MATCHES).select("a", "b")
+def _stars(scratch: Scratch, postings: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(a, b): each posted document with the hub that it meets most often, where enough coordinates are equal."""
+    hubs = postings.groupBy("token").agg(F.max(F.struct("rank", "id")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "hub")
+    met = postings.join(hubs, "token").filter("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.rank").alias("rank"), F.col("hub.id").alias("b"))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
+    best = counted.groupBy("a").agg(F.max(F.struct("n", "rank", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    a = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
+    b = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
+    return scratch.table(best.join(a, "a").join(b, "b").filter(matches("sa", "sb") >= MATCHES).select("a", "b"))
+
 
+def _placed(scratch: Scratch, postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """Postings of lists with several components: (token, id, rank, root, main), ``main`` the root of the list's largest component, and ``n``, the list's length."""
+    rooted = scratch.table(postings.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    sizes = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
+    lists = scratch.table(mixed.filter("parts > 1").select("token", F.col("m.root").alias("main"), "n"))
+    return rooted.join(broadcast_if_few(lists), "token")
 
-def _inside_stars(compared: DataFrame) -> DataFrame:
-    """Links (a, b) of documents with one hub, of which a is not linked to it.
+
+def _inside_stars(scratch: Scratch, compared: DataFrame, joined: DataFrame) -> DataFrame:
+    """Links (a, b) of documents with one hub but in different components, of which a is not linked to the hub.
 
     With P the hub's set: common(a, b) = |P| - |lacking a or b| + |added to both|. Large
     stars are dealt out: b's over as many blocks as the star needs, a's to each block.
     """
-    sizes = compared.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("b", F.ceil(F.col("n") / STAR_BLOCK).cast("bigint").alias("blocks"))
-    member = compared.join(sizes, "b")
+    rooted = compared.join(joined.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    star = rooted.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    member = rooted.join(broadcast_if_few(scratch.table(star.select("b", _blocks(F.col("n"), STAR_BLOCK).alias("blocks")))), "b")
     loose = ~similar(F.col("common"), F.col("size_a"), F.col("size_b"))
     left = member.filter(loose).select(
-        F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("x"),
+        F.col("b").alias("hub"), _spread("blocks").alias("block"), F.col("a").alias("x"), F.col("root").alias("root_x"),
         F.col("size_a").alias("size_x"), F.col("common").alias("common_x"), F.col("lacking").alias("lacking_x"), F.col("added").alias("added_x"),
     )
     right = member.select(
-        F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.col("a").alias("y"), loose.alias("loose_y"), F.col("size_b").alias("size_hub"),
+        F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.col("a").alias("y"), F.col("root").alias("root_y"), loose.alias("loose_y"), F.col("size_b").alias("size_hub"),
         F.col("size_a").alias("size_y"), F.col("common").alias("common_y"), F.col("lacking").alias("lacking_y"), F.col("added").alias("added_y"),
     )
     at_most = F.least("common_x", "common_y") + F.least(F.size("added_x"), F.size("added_y"))
     lacking = F.size("lacking_x") + F.size("lacking_y") - F.size(F.array_intersect("lacking_x", "lacking_y"))
     common = F.col("size_hub") - lacking + F.size(F.array_intersect("added_x", "added_y"))
     once = ~F.col("loose_y") | (F.col("x") < F.col("y"))
-    may = once & (F.col("x") != F.col("y")) & similar(at_most, F.col("size_x"), F.col("size_y"))
-    linked = F.when(may, similar(common, F.col("size_x"), F.col("size_y"))).otherwise(F.lit(False))
+    may = (F.col("root_x") != F.col("root_y")) & once & similar(at_most, F.col("size_x"), F.col("size_y"))
+    found = F.when(may, similar(common, F.col("size_x"), F.col("size_y"))).otherwise(F.lit(False))
     same = (left["hub"] == right["hub"]) & (left["block"] == right["block"])
-    return left.join(right, same & linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return left.join(right, same & found).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _across_stars(scratch: Scratch, texts: Texts, placed: DataFrame, stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a list but neither star nor component, whose sizes and bit signatures allow a link."""
+    hubs = stars.select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    open_lists = placed.join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id"))
+    several = scratch.table(open_lists.groupBy("token").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).filter("low <> high").select("token"))
+    open_lists = scratch.table(open_lists.join(broadcast_if_few(several), "token").select("token", "id", "root", "main", "hub", _blocks(F.col("n"), STAR_BLOCK).alias("blocks")))
+    bits = scratch.table(texts.of(open_lists.select("id").distinct()).mapInArrow(_bits, "id bigint, bits array<bigint>"))
+    known = scratch.table(open_lists.join(bits, "id").join(sizes, "id"))
+    outside = known.filter("root <> main").select(
+        "token", _spread("blocks").alias("block"), F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("hub").alias("hub_a"), F.col("n_shingles").alias("size_a"), F.col("bits").alias("bits_a")
+    )
+    everyone = known.select(
+        "token", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("hub").alias("hub_b"),
+        F.col("n_shingles").alias("size_b"), F.col("bits").alias("bits_b"), (F.col("root") == F.col("main")).alias("in_main"),
+    )
+    apart = (F.col("root_a") != F.col("root_b")) & (F.col("hub_a") != F.col("hub_b")) & (F.col("hub_a") != F.col("b")) & (F.col("hub_b") != F.col("a"))
+    meet = apart & (F.col("in_main") | (F.col("a") > F.col("b"))) & similar(F.least("size_a", "size_b"), F.col("size_a"), F.col("size_b"))
+    enough = F.when(meet, different("bits_a", "bits_b") < DIFFERENT).otherwise(F.lit(False))
+    same = (outside["token"] == everyone["token"]) & (outside["block"] == everyone["block"])
+    return scratch.table(outside.join(everyone, same & enough).select("a", "b").distinct())
 
 
-def links(scratch: Scratch, docs: DataFrame, representatives: DataFrame) -> DataFrame:
+def links(scratch: Scratch, texts: Texts, representatives: DataFrame) -> DataFrame:
     """(node, root) of the components of representatives under the similarity bound; lone ones are absent."""
     postings = _postings(scratch, representatives)
-    hubs = postings.groupBy("token").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "hub")
-    met = postings.join(hubs, "token").filter("key <> hub.key").select(F.col("key").alias("a"), F.col("hub.rank").alias("rank"), F.col("hub.key").alias("b"))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
-    best = counted.groupBy("a").agg(F.max(F.struct("n", "rank", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    signatures = scratch.table(representatives.join(postings.select("key").distinct(), "key", "left_semi").select("key", "signature"))
-    stars = scratch.table(_candidates(best, signatures))
-    compared = compare(scratch, docs, stars)
-    to_hub = compared.filter(similar(F.col("common"), F.col("size_a"), F.col("size_b"))).select("a", "b")
-    edges = scratch.table(to_hub.unionByName(_inside_stars(compared)))
-    scratch.drop(compared)
+    posted = postings.select("id").distinct()
+    signatures = scratch.table(representatives.join(posted, "id", "left_semi").select("id", "n_shingles", "signature"))
+    stars = _stars(scratch, postings, signatures)
+    compared = texts.compare(stars)
+    edges = scratch.table(compared.filter(linked(compared)).select("a", "b"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    again = texts.compare(_stars(scratch, scratch.table(postings.join(ends, "id", "left_anti")), signatures))
+    edges = scratch.table(edges.unionByName(again.filter(linked(again)).select("a", "b")))
+    scratch.drop(again)
     joined = scratch.table(components(scratch, edges))
 
-    placed = postings.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").join(stars.select(F.col("a").alias("key"), F.col("b").alias("hub")), "key", "left")
-    placed = scratch.table(placed.select("token", "key", F.coalesce("root", "key").alias("root"), F.coalesce("hub", "key").alias("hub")))
-    sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("m.root").alias("main"))
-    several = placed.groupBy("token").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).filter("low <> high").select("token")
-    open_lists = scratch.table(placed.join(mixed, "token").join(several, "token").join(signatures, "key"))
-    outside = open_lists.filter("root <> main").select("token", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("hub").alias("hub_a"), F.col("signature").alias("sa"))
-    everyone = open_lists.select("token", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("hub").alias("hub_b"), F.col("signature").alias("sb"), (F.col("root") == F.col("main")).alias("in_main"))
-    apart = (F.col("root_a") != F.col("root_b")) & (F.col("hub_a") != F.col("hub_b")) & (F.col("hub_a") != F.col("b")) & (F.col("hub_b") != F.col("a"))
-    meet = apart & (F.col("in_main") | (F.col("a") > F.col("b")))
-    enough = F.when(meet, matches("sa", "sb") >= MATCHES).otherwise(F.lit(False))
-    rest = scratch.table(outside.join(everyone, (outside["token"] == everyone["token"]) & enough).select("a", "b").distinct())
-    more = scratch.table(compare(scratch, docs, rest).filter(similar(F.col("common"), F.col("size_a"), F.col("size_b"))).select("a", "b"))
+    edges = scratch.table(edges.unionByName(_inside_stars(scratch, compared, joined)))
+    scratch.drop(compared)
+    joined = scratch.table(components(scratch, edges))
+    rest = _across_stars(scratch, texts, _placed(scratch, postings, joined), stars, signatures.select("id", "n_shingles"))
+    if rest.isEmpty():
+        return joined
+    tested = texts.compare(rest)
+    more = scratch.table(tested.filter(linked(tested)).select("a", "b"))
     if more.isEmpty():
         return joined
     return scratch.table(components(scratch, edges.unionByName(more)))
@@ -237,45 +327,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     identifiers never win: a component's id is its least identifier that is not
     null, and null if it has none. ``kept`` is null-safe equality of doc_id and
     component_id, so repeated rows are kept or dropped alike. ``key`` is the
-    row's identity for joins; other columns are ignored.
+    row's hash for joins; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = pick(docs, "doc_id", "text")
-    sketched = docs.select(row_key().alias("key"), "text").mapInArrow(_sketch, SKETCH)
-    sketches = scratch.table(sketched)
-    classes = scratch.table(sketches.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
-    representatives = scratch.table(sketches.join(classes.select("h1", "h2", "key"), ["h1", "h2", "key"], "left_semi").select("key", "signature").dropDuplicates(["key"]))
-    joined = links(scratch, docs, representatives)
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    rows = pick(docs, "doc_id", "text").select("doc_id", row_key().alias("key"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sketched = rows.mapInArrow(_sketch, f"doc_id {kind}, key bigint, n_shingles bigint, h1 bigint, h2 bigint, signature array<bigint>")
+    # Numbers of rows are settled once they are written.
+    sketches = scratch.table(sketched.withColumn("id", F.monotonically_increasing_id()))
+    sets = sketches.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.table(sets)
+    representatives = scratch.table(sketches.join(classes.select("id"), "id", "left_semi").select("id", "doc_id", "key", "n_shingles", "signature"))
+    joined = links(scratch, Texts(scratch, rows, representatives.select("id", "doc_id", "key")), representatives)
 
     # Only classes with copies or links need a label from others; every other row is its own component.
-    linked = classes.join(joined.select(F.col("node").alias("key"), "root"), "key", "left")
-    grouped = scratch.table(linked.filter("n > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "key").alias("root")))
-    thin = scratch.table(docs.select("doc_id", row_key().alias("key")))
-    rows = sketches.select("key", "n_shingles", "h1", "h2").dropDuplicates(["key"])
-    members = scratch.table(rows.join(grouped, ["h1", "h2"], "left").select("key", "n_shingles", "root"))
-    labelled = scratch.table(thin.join(members, "key"))
-    least = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return (
-        labelled.join(least, "root", "left")
-        .withColumn("component_id", component)
-        .select("key", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    known = classes.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").filter("n > 1 OR root IS NOT NULL")
+    grouped = scratch.table(known.select("h1", "h2", "doc_id", F.coalesce("root", "id").alias("root")))
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("least"))
+    labels = scratch.table(grouped.join(least, "root").select("h1", "h2", "least", F.lit(True).alias("labelled")))
+    thin = sketches.select("doc_id", "key", "n_shingles", "h1", "h2")
+    labelled = thin.filter("n_shingles > 0").join(labels, ["h1", "h2"], "left")
+    worded = labelled.select("key", "doc_id", "n_shingles", F.when(F.col("labelled"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    empty = thin.filter("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return worded.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with one document of each component: the one whose identifier names it.
 
-    Of repeated rows one stays. Every column is kept.
+    Of repeated rows one stays. Every column is kept. Rows that need no decision
+    pass by a key filter, without an exchange.
     """
+    scratch = Scratch(docs.sparkSession)
     found = near_duplicates(docs)
-    action = found.groupBy("key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
-    action = Scratch(docs.sparkSession).table(action)
-    keyed = docs.withColumn("__key", row_key()).join(action.select(F.col("key").alias("__key"), "kept", "n").withColumnsRenamed({"kept": "__kept", "n": "__n"}), "__key", "left")
-    single = keyed.filter("__kept IS NULL")
-    repeated = keyed.filter("__kept AND __n > 1").dropDuplicates(["__key"])
-    return single.unionByName(repeated).select(*docs.columns)
+    action = found.groupBy("doc_id", "key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
+    action = scratch.table(action)
+    key, asked, of, kept, n = unused(docs, "row_key", "asked_key", "asked_id", "kept", "n")
+    maybe = unused(docs, "maybe")[0]
+    keyed = key_filter(scratch, action.select("key"))(docs.withColumn(key, row_key()), maybe, key)
+    renamed = action.select(F.col("key").alias(asked), F.col("doc_id").alias(of), F.col("kept").alias(kept), F.col("n").alias(n))
+    judged = keyed.filter(maybe).join(renamed, (F.col(key) == F.col(asked)) & F.col("doc_id").eqNullSafe(F.col(of)), "left")
+    single = judged.filter(F.col(kept).isNull())
+    repeated = judged.filter(F.col(kept) & (F.col(n) > 1)).dropDuplicates([key, "doc_id"])
+    passed = keyed.filter(~F.col(maybe)).select(*docs.columns)
+    return passed.unionByName(single.select(*docs.columns)).unionByName(repeated.select(*docs.columns))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows sent to a Python worker at a time.
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from brasswing.session import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is unset (tests) is a local folder chosen and set.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="brasswing-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+#: Rows, and about so many bytes, sent to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Scratch:
@@ -58,15 +46,72 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's rows a batch to ``rows``: a worker and its executor hold whole batches several times over.
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lower the session's rows and bytes a batch: a worker and its executor hold whole batches several times over.
 
-    Read when a plan runs, so it stays set; a lower value of the caller's own is kept.
+    Read when a plan runs, so it stays set; lower values of the caller's own are kept.
     """
-    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
-        spark.conf.set(_BATCH, str(rows))
+    for key, most in ((_BATCH, rows), (_BYTES, size)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: other columns of the input never meet the operator's own."""
     return df.select(*[df[n] for n in names])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a few whole numbers that are sent to every executor, at most (about 100 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_few(table: DataFrame) -> DataFrame:
+    """A written table of thin rows, marked for broadcast if it has ``BROADCAST_ROWS`` at most; else joins shuffle it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+#: Bits of a key filter: a power of two with about 16 a key, and 64 MB at most. Bits of one of its rows.
+FILTER_BITS, FILTER_MAX, FILTER_ROW = 16, 1 << 29, 1 << 15
+
+
+def key_filter(scratch: Scratch, keys: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """A filter of rows whose 64-bit hash ``key`` may be among ``keys`` (a written table of one column), to be applied before an exchange of wide rows.
+
+    The function returned adds a boolean column of the given name. It is true
+    for every row whose key is wanted and for one in sixteen others; with more
+    than 2^25 keys it lets more through, as its size is bounded. It is a bitmap of
+    one bit a key, made and looked up by SQL functions.
+    """
+    keys = keys.select(F.col(keys.columns[0]).alias("key"))
+    bits = FILTER_ROW
+    wanted = FILTER_BITS * keys.count()
+    while bits < min(wanted, FILTER_MAX):
+        bits *= 2
+
+    def slot(key: Column) -> Column:
+        return key.bitwiseAND(F.lit(bits - 1))
+
+    rows = keys.groupBy(F.floor(slot(F.col("key")) / FILTER_ROW).alias("row")).agg(F.bitmap_construct_agg(slot(F.col("key")) % FILTER_ROW).alias("bits"))
+    rows = scratch.table(rows)
+
+    def maybe(df: DataFrame, name: str, key: str = "key") -> DataFrame:
+        row, bitmap = unused(df, "filter_row", "filter_bits")
+        at = slot(F.col(key)) % FILTER_ROW
+        byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+        placed = df.withColumn(row, F.floor(slot(F.col(key)) / FILTER_ROW))
+        joined = placed.join(F.broadcast(rows.select(F.col("row").alias(row), F.col("bits").alias(bitmap))), row, "left")
+        return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(row, bitmap)
+
+    return maybe

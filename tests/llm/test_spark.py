@@ -7,6 +7,7 @@ import numpy as np
 from oracle import connect, same
 
 import corpus_pipeline
+from brasswing.llm.shared import key_filter
 from brasswing.llm import decontamination, language, near_duplicates, personal_data, queries, quality, secrets, token_shards, unigram, warc
 
 ODD = [(1, "The same words stand here one two three four five"), (1, "The same words stand here one two three four five"), (None, None), (2, None), (3, ""), (4, " \n\t "), (5, "12 %%"), (None, "The same words stand here one two three four five six")]
@@ -81,6 +82,69 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def counted_components(rows):
+    """The same by counting shared shingles over posting lists: fit for some thousand texts."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    held = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(i)
+    held = {x: np.array(v) for x, v in held.items()}
+    sizes, root = np.array([len(s) for s in sets]), list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for i, s in enumerate(sets):
+        common = np.bincount(np.concatenate([held[x] for x in s]), minlength=len(sets))
+        for j in np.flatnonzero(100 * common >= 75 * (sizes + sizes[i] - common)).tolist():
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), k), k)
+    return {k: least[find(i)] for i, (k, _) in enumerate(rows)}
+
+
+def test_near_duplicates_in_large_groups(spark):
+    """Some thousand near copies, many too far from any hub, and some thousand texts that share a long passage."""
+    rng = np.random.default_rng(7)
+    base, passage = [f"w{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    made = []
+    for i in range(2500):
+        w = list(base)
+        for j in rng.choice(120, int(rng.integers(1, 14)), replace=False):
+            w[j] = f"x{rng.integers(3)}"
+        made.append((int(rng.permutation(10)[0]) * 10_000 + i, " ".join(w)))
+    for i in range(1500):
+        own = [f"o{i // 2}-{k}" for k in range(int(rng.integers(12, 60)))]
+        made.append((200_000 + i, " ".join(passage + own)))
+    docs = spark.createDataFrame(made, "doc_id bigint, text string").repartition(7)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs).collect()}
+    want = counted_components(made)
+    assert got == want and 100 < len(set(want.values())) < len(want)
+
+
+def test_deduplicate_keeps_all_columns_and_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y"), (2, "a b c d e f", 3, "z"), (3, None, 4, ""), (3, None, 5, ""), (4, "q r s t u v w", 6, "")]
+    names = "doc_id bigint, text string, row_key int, kept string"
+    left = near_duplicates.deduplicate(spark.createDataFrame(rows, names))
+    assert left.columns == ["doc_id", "text", "row_key", "kept"]
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
+
+
+def test_key_filter_lets_all_wanted_through(spark):
+    keys = spark.range(20_000).selectExpr("xxhash64(id) AS key")
+    rows = spark.range(200_000).selectExpr("id", "xxhash64(id) AS key")
+    marked = key_filter(near_duplicates.Scratch(spark), keys)(rows, "maybe")
+    wanted, passed = marked.selectExpr("sum(int(maybe AND id < 20000))", "sum(int(maybe))").first()
+    assert wanted == 20_000 and passed < 35_000
+    assert key_filter(near_duplicates.Scratch(spark), keys.limit(0))(rows, "maybe").filter("maybe").count() == 0
+
+
 def test_decontamination(spark, sf_dir):
     bench = spark.createDataFrame([(1, "Alice has 12 apples and gives 5 apples to her friend named Bob who walks 3 km home every single day. How many apples does Alice keep?"), (2, "too short"), (3, None)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "Intro words. Carla has 40 apples and gives 9 apples to her friend named Dan who walks 8 km home every single day. How many apples does Eve keep? And more."), (2, "nothing of the kind is in this text at all, only words that go on"), (3, None)], "doc_id bigint, text string")
