@@ -6,8 +6,8 @@ by the forward algorithm; a text's score adds the logarithms over its words.
 Probabilities are fitted by expectation-maximisation on word counts of a bounded
 sample of labelled documents.
 
-A word is a longest run of letters, lower-cased, with the blank mark in front.
-Runs over ``WORD`` characters are taken in parts of that length.
+A word is a longest run of letters of any length, lower-cased, with the blank mark
+in front.
 """
 
 from __future__ import annotations
@@ -29,9 +29,13 @@ from brasswing.llm.unigram import BLANK, Vocabulary
 #: Labelled documents a language is fitted on, at most, and rounds of expectation-maximisation.
 SAMPLE = 250
 ROUNDS = 3
-#: Characters of a word that are segmented together.
-WORD = 32
+#: The most frequent words a language that its fit uses, of ``LONG_WORD`` letters at most.
+SAMPLE_WORDS = 50_000
 LONGEST_PIECE = 16
+#: Words above this length are scored one by one, holding ``LONGEST_PIECE`` positions only.
+LONG_WORD = 4096
+#: Positions times languages that are held at a time.
+POSITIONS = 1 << 20
 SMOOTHING = 0.05
 #: Probability of a character in no piece.
 UNKNOWN = 1e-9
@@ -51,10 +55,9 @@ class Model:
 
 
 def words(texts: pa.Array) -> Codes:
-    """Letter runs, lower-cased, in parts of at most ``WORD`` characters."""
+    """Letter runs, lower-cased."""
     bare = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " ")
-    parts = pc.replace_substring_regex(bare, f"(\\pL{{{WORD}}})", "\\1 ")
-    found = Codes(pc.split_pattern(parts, " "))
+    found = Codes(pc.split_pattern(bare, " "))
     return found.drop(np.asarray(pc.equal(pc.binary_length(found.uniques), 0)))
 
 
@@ -83,34 +86,96 @@ def _edges(names: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, int]:
     return edges, n
 
 
-def forward(edges: np.ndarray, n: int, probability: np.ndarray) -> np.ndarray:
-    """alpha[j, w, language]: summed probability of all segmentations of the first j characters."""
-    count = edges.shape[2]
-    table = np.vstack((probability, np.zeros((1, probability.shape[1]))))  # -1 finds the zeros
-    alpha = np.zeros((n + 1, count, probability.shape[1]))
+def _groups(names: list[str], languages: int) -> Iterator[list[int]]:
+    """Numbers of ``names``, words of like length together, as many as ``POSITIONS`` allows."""
+    order = sorted(range(len(names)), key=lambda i: (len(names[i]), names[i]))
+    while order:
+        most = min(2048, len(order))
+        while most > 1 and most * (len(names[order[most - 1]]) + 2) * languages > POSITIONS:
+            most = (most + 1) // 2
+        yield order[:most]
+        order = order[most:]
+
+
+def forward(edges: np.ndarray, ends: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    """Logarithm of the summed probability of all segmentations of each word, for every language.
+
+    Sums are kept relative to a factor a word and language, renewed before they can vanish.
+    """
+    n, count, languages = len(edges) - 1, edges.shape[2], probability.shape[1]
+    alpha = np.zeros((n + 1, count, languages))
     alpha[0] = 1.0
+    scale, out = np.zeros((count, languages)), np.zeros((count, languages))
     for j in range(1, n + 1):
         for size in range(1, min(j, LONGEST_PIECE) + 1):
             ids = edges[j, size - 1]
             hit = np.flatnonzero(ids >= 0)
             if len(hit):
-                alpha[j, hit] += alpha[j - size, hit] * table[ids[hit]]
-    return alpha
+                alpha[j, hit] += alpha[j - size, hit] * probability[ids[hit]]
+        at = np.flatnonzero(ends == j)
+        if len(at):
+            out[at] = np.log(alpha[j, at]) + scale[at]
+        if j % 8 == 0:
+            last = alpha[max(0, j + 1 - LONGEST_PIECE) : j + 1]
+            most = last.max(axis=0)
+            most[most <= 0] = 1.0  # behind the word's end
+            last /= most
+            scale += np.log(most)
+    return out
+
+
+def long_forward(word: str, model: Model) -> np.ndarray:
+    """The same for one word of any length, position by position."""
+    marked, get, none = BLANK + word, model.pieces.get, len(model.pieces)
+    recent = [np.ones(len(model.languages))]
+    scale = np.zeros(len(model.languages))
+    for j in range(1, len(marked) + 1):
+        total = 0.0
+        for size in range(1, min(j, LONGEST_PIECE) + 1):
+            k = get(marked[j - size : j])
+            if k is None and size == 1:
+                k = none
+            if k is not None:
+                total = total + recent[-size] * model.probability[k]
+        recent = [*recent[1 - LONGEST_PIECE :], total]
+        if j % 8 == 0:
+            most = np.max(recent, axis=0)
+            recent = [r / most for r in recent]
+            scale = scale + np.log(most)
+    return np.log(recent[-1]) + scale
 
 
 def word_scores(names: list[str], model: Model) -> np.ndarray:
     """log P(word | language) for every word and language; words of like length go together."""
     out = np.empty((len(names), len(model.languages)))
-    order = sorted(range(len(names)), key=lambda i: len(names[i]))
-    for a in range(0, len(order), 2048):
-        part = order[a : a + 2048]
-        edges, n = _edges([names[i] for i in part], model.pieces)
-        ends = np.array([len(names[i]) + 1 for i in part])
-        total = forward(edges, n, model.probability)[ends, np.arange(len(part))]
-        out[part] = np.log(np.maximum(total, 1e-300))
+    short = [i for i, name in enumerate(names) if len(name) <= LONG_WORD]
+    for part in _groups([names[i] for i in short], len(model.languages)):
+        rows = [short[i] for i in part]
+        edges, _ = _edges([names[i] for i in rows], model.pieces)
+        out[rows] = forward(edges, np.array([len(names[i]) + 1 for i in rows]), model.probability)
+    for i, name in enumerate(names):
+        if len(name) > LONG_WORD:
+            out[i] = long_forward(name, model)
     return out
 
 
+def _expect(edges: np.ndarray, ends: np.ndarray, weight: np.ndarray, log_p: np.ndarray, expected: np.ndarray) -> None:
+    """Add to ``expected`` how often each piece is used in all segmentations of the words, by forward and backward sums in logarithms."""
+    n, rows = len(edges) - 1, np.arange(len(ends))
+    steps = [(j, size, ids, hit) for j in range(1, n + 1) for size in range(1, min(j, LONGEST_PIECE) + 1) if len(hit := np.flatnonzero((ids := edges[j, size - 1]) >= 0))]
+    alpha = np.full((n + 1, len(ends)), -np.inf)
+    alpha[0] = 0.0
+    for j, size, ids, hit in steps:
+        alpha[j, hit] = np.logaddexp(alpha[j, hit], alpha[j - size, hit] + log_p[ids[hit]])
+    total = alpha[ends, rows]
+    beta = np.full_like(alpha, -np.inf)
+    beta[ends, rows] = 0.0
+    for j, size, ids, hit in reversed(steps):
+        through = log_p[ids[hit]] + beta[j, hit]
+        beta[j - size, hit] = np.logaddexp(beta[j - size, hit], through)
+        np.add.at(expected, ids[hit], weight[hit] * np.exp(alpha[j - size, hit] + through - total[hit]))
+
+
 def train(counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> Model:
     """Fit piece probabilities to word counts by language."""
     languages, pieces = sorted(counts), vocabulary()
@@ -118,30 +183,17 @@ def train(counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> Model:
     columns = []
     lengths = np.array([len(p) for p in pieces], float)
     for language in languages:
-        names = sorted(counts[language], key=lambda w: (len(w), w))
+        names = [w for w in counts[language] if len(w) <= LONG_WORD]
         p = np.append(0.02**lengths, UNKNOWN)
         p[:size] /= p[:size].sum()
         groups = []
-        for a in range(0, len(names), 2048):
-            part = names[a : a + 2048]
-            edges, n = _edges(part, pieces)
-            groups.append((edges, n, np.array([len(w) + 1 for w in part]), np.array([counts[language][w] for w in part], float)))
+        for part in _groups(names, 1):
+            edges, _ = _edges([names[i] for i in part], pieces)
+            groups.append((edges, np.array([len(names[i]) + 1 for i in part]), np.array([counts[language][names[i]] for i in part], float)))
         for _ in range(rounds):
             expected = np.full(size + 1, SMOOTHING)
-            for edges, n, ends, weight in groups:
-                rows = np.arange(len(ends))
-                alpha = forward(edges, n, p[:, None])[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[ends, rows] = 1.0
-                total = np.maximum(alpha[ends, rows], 1e-300)
-                for j in range(n, 0, -1):
-                    for length in range(1, min(j, LONGEST_PIECE) + 1):
-                        ids = edges[j, length - 1]
-                        hit = np.flatnonzero(ids >= 0)
-                        if len(hit):
-                            through = p[ids[hit]] * beta[j, hit]
-                            beta[j - length, hit] += through
-                            np.add.at(expected, ids[hit], weight[hit] * alpha[j - length, hit] * through / total[hit])
+            for edges, ends, weight in groups:
+                _expect(edges, ends, weight, np.log(p), expected)
             p = np.append(expected[:size] / expected[:size].sum(), UNKNOWN)
         columns.append(p)
     return Model(languages, pieces, np.stack(columns, axis=1) if columns else np.zeros((size + 1, 0)))
@@ -161,20 +213,35 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([languages.dictionary.take(pa.array(pairs[0])).cast(pa.string()), found.uniques.take(pa.array(pairs[1])).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+def _sample(rows: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang) of at most ``sample`` documents a language: those with the lowest hash of their identifier.
+
+    A share of the hash's range that holds four times as many is cut out first, so
+    that ranking a language does not take rows from every task.
+    """
+    size = F.approx_count_distinct("doc_id")
+    share = rows.groupBy("lang").agg((F.lit(4.0 * sample) / size).alias("share"))
+    place = (F.xxhash64("doc_id") / F.lit(float(2**64)) + 0.5).alias("place")
+    few = rows.select("doc_id", "lang", place).join(share, "lang").filter("place <= share").select("doc_id", "lang", "place").distinct()
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
+    return ranked.filter(F.col("r") <= sample).select("doc_id", "lang")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, most_words: int = SAMPLE_WORDS) -> Model:
     """Learn from text and non-null lang of at most ``sample`` documents a language, none of them held out.
 
     The sample is the documents with the lowest hash of their identifier. Only
-    its word counts reach the driver.
+    counts of their ``most_words`` most frequent words a language reach the driver.
     """
     rows = pick(docs, "doc_id", "lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out_column())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= sample).select("doc_id", "lang").distinct()
+    chosen = _sample(rows.select("doc_id", "lang"), sample)
     counted = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n bigint")
-    counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in chosen.select("lang").distinct().collect()}
-    for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-        counts[r["lang"]][r["word"]] = r["n"]
-    return train({k: v for k, v in counts.items() if v}, rounds)
+    totals = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    by_count = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    counts: dict[str, dict[str, int]] = {}
+    for r in totals.withColumn("r", F.row_number().over(by_count)).filter(F.col("r") <= most_words).collect():
+        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    return train(counts, rounds)
 
 
 def predict(texts: pa.Array, model: Model, table: Table) -> tuple[list[str], np.ndarray]:

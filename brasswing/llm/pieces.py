@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 
 #: Text bytes handled at a time within a record batch; what a task holds besides the batch is a multiple of it.
 SLICE_BYTES = 2 << 20
-#: Distinct pieces a table remembers before it begins anew.
-LIMIT = 500_000
+#: Distinct pieces, and characters of them, that a table remembers before it begins anew.
+LIMIT, LIMIT_CHARACTERS = 500_000, 16_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -107,16 +107,17 @@ class Table:
         self.learn, self.limit = learn, limit
         self.index: dict[str, int] = {}
         self.values: np.ndarray | None = None
-        self._used = 0
+        self._used = self._characters = 0
 
     def rows(self, uniques: pa.Array) -> np.ndarray:
         """Values of every piece in ``uniques``."""
         names = uniques.to_pylist()
-        if len(self.index) > self.limit:
-            self.index, self.values, self._used = {}, None, 0
+        if len(self.index) > self.limit or self._characters > LIMIT_CHARACTERS:
+            self.index, self.values, self._used, self._characters = {}, None, 0, 0
         index = self.index
         fresh = [p for p in names if p not in index]
         if fresh:
+            self._characters += sum(map(len, fresh))
             new = self.learn(fresh)
             if self.values is None:
                 self.values = np.empty((max(1 << 16, 2 * len(fresh)), *new.shape[1:]), new.dtype)
@@ -158,15 +159,17 @@ class Ragged:
         self.index: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.data = np.zeros(0, np.int32)
+        self._characters = 0
 
     def gather(self, coded: Codes) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch in order, and the number of ids of each row."""
         names = coded.uniques.to_pylist()
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self._characters > LIMIT_CHARACTERS:
             self._reset()
         index = self.index
         fresh = [p for p in names if p not in index]
         if fresh:
+            self._characters += sum(map(len, fresh))
             new = self.learn(fresh)
             sizes = np.fromiter(map(len, new), np.int64, len(new))
             starts = len(self.data) + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from brasswing.llm import boost, near_duplicates, pieces, quality, secrets, sstable, token_shards, unigram, warc
+from brasswing.llm import boost, language, near_duplicates, pieces, quality, secrets, sstable, token_shards, unigram, warc
 
 
 def test_sstable_round_trip_and_lookup():
@@ -165,3 +165,77 @@ def test_warc_successors_of_all_magics():
         assert warc.successors(data, len(data)) == {i: n for i in at if (n := warc.successor(data, i)) is not None}
     long = warc.record(7, "data:" + "%" * 200_000, b"<p>", "d" * 40, None, False)
     assert warc.successor(long, 0) == len(long)
+
+
+def segmentations(word, pieces):
+    """All ways to cut ``word`` into pieces; single characters may be unknown (None)."""
+    if not word:
+        yield []
+    for size in range(1, len(word) + 1):
+        known = word[:size] in pieces
+        if known or size == 1:
+            for rest in segmentations(word[size:], pieces):
+                yield [word[:size] if known else None, *rest]
+
+
+def model_of(words, rounds=0):
+    return language.train({k: dict(v) for k, v in words.items()}, rounds)
+
+
+def test_forward_sum_equals_all_segmentations():
+    model = model_of({"a": {"sonne": 3, "haus": 2, "regenzeit": 1}, "b": {"river": 4, "the": 5, "mountain": 1}}, 2)
+    probability = lambda piece, k: float(model.probability[len(model.pieces) if piece is None else model.pieces[piece], k])
+    names = ["a", "the", "sonne", "rivers", "ßx", "日本", "regenzeitk"]
+    scores = language.word_scores(names, model)
+    for name, row in zip(names, scores, strict=True):
+        cuts = list(segmentations(language.BLANK + name, model.pieces))
+        for k in range(2):
+            assert np.isclose(np.exp(row[k]), sum(np.prod([probability(p, k) for p in cut]) for cut in cuts), rtol=1e-9)
+        assert np.allclose(row, language.long_forward(name, model), rtol=1e-12)
+
+
+def test_forward_sum_of_long_runs():
+    model = model_of({"a": {"sonne": 3}, "b": {"river": 4}}, 1)
+    for unit in ("sonne", "日本語", "ßqx"):
+        run = unit * 900
+        row = language.word_scores([run, "the"], model)[0]
+        assert np.isfinite(row).all() and np.allclose(row, language.long_forward(run, model), rtol=1e-9)
+    assert np.isfinite(language.word_scores(["x" * 20_000], model)).all()
+
+
+def test_one_round_counts_pieces_in_all_segmentations():
+    pieces = language.vocabulary()
+    names = {"the": 2, "river": 1}
+    p = np.append(0.02 ** np.array([len(x) for x in pieces], float), language.UNKNOWN)
+    p[:-1] /= p[:-1].sum()
+    expected = np.full(len(p), language.SMOOTHING)
+    for name, n in names.items():
+        cuts = list(segmentations(language.BLANK + name, pieces))
+        weights = np.array([np.prod([p[-1] if x is None else p[pieces[x]] for x in cut]) for cut in cuts])
+        for cut, w in zip(cuts, weights / weights.sum(), strict=True):
+            for x in cut:
+                expected[-1 if x is None else pieces[x]] += n * w
+    want = np.append(expected[:-1] / expected[:-1].sum(), language.UNKNOWN)
+    assert np.allclose(model_of({"a": names}, 1).probability[:, 0], want, rtol=1e-9)
+
+
+def test_words_of_the_language_model():
+    found = language.words(pa.array(["Ärger, über-all 12", "x" * 100 + "日" * 50, "", "1 2"], pa.large_string()))
+    assert found.lengths.tolist() == [3, 1, 0, 0]
+    assert [found.uniques.to_pylist()[c] for c in found.codes] == ["ärger", "über", "all", "x" * 100 + "日" * 50]
+
+
+def test_tables_forget_by_characters(monkeypatch):
+    monkeypatch.setattr(pieces, "LIMIT_CHARACTERS", 10)
+    table = pieces.Table(lambda names: np.array([len(n) for n in names]))
+    assert table.rows(pa.array(["aaaaaaaaaaaa", "b"])).tolist() == [12, 1]
+    assert table.rows(pa.array(["b", "cc"])).tolist() == [1, 2] and len(table.index) == 2
+
+
+def test_bit_signatures_follow_similarity():
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 400).astype(np.uint64)
+    for changed, low, high in ((0, 0, 0), (57, 90, 165), (200, 290, 400)):
+        other = np.concatenate((base[changed:], r.integers(0, 2**63, changed).astype(np.uint64)))
+        a, b = near_duplicates.bit_signature(base), near_duplicates.bit_signature(other)
+        assert low <= sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= high
