@@ -27,6 +27,8 @@ SYMBOLS = "[#*$%&|<>]"
 #: Labelled documents the classifier is fitted on, at most, and the share of good ones it must keep.
 SAMPLE = 4000
 KEEP_GOOD = 0.995
+#: One in so many of them is held out of training to set the threshold.
+HELD_OUT = 4
 
 FEATURES = ["log_words", "mean_word", "symbol_share", "repeat_share", "dup_line_share", "distinct_share", "letter_share", "words_per_line"]
 MONOTONE = {FEATURES.index("symbol_share"): -1, FEATURES.index("repeat_share"): -1, FEATURES.index("dup_line_share"): -1}
@@ -94,27 +96,34 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             stats, x = statistics(part)
             failed = base_failed(stats["n_words"], stats["n_repeat_words"])
-            yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(failed), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "failed", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(failed), part.column("held_out"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "failed", "held_out", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> tuple[Trees, float]:
     """Train on at most ``sample`` labelled documents, those with the lowest hash of their identifier.
 
-    Rows without a label, text or identifier are left out. Without both labels
+    Documents in one ``HELD_OUT``-th of them, by hash, set the threshold; the trees
+    never see these. Rows without a label, text or identifier are left out. Of rows
+    that share an identifier the text with the lowest hash counts, and of labels the
+    lowest. Equal gains are settled by the first feature and cut, and equal rows are
+    alike, so the order in which rows arrive does not matter. Without both labels
     present the trees are empty and the threshold 0: every document passes.
     """
-    known = pick(labels, "doc_id", "quality").filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = pick(labels, "doc_id", "quality").filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = pick(docs, "doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    found = rows.mapInArrow(_features, "quality int, failed boolean, x array<double>").filter("NOT failed").select("quality", "x").limit(2 * sample).collect()
-    y = np.array([r["quality"] for r in found], float)
-    if len(set(y.tolist())) < 2:
+    rows = pick(docs, "doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    # One row a document, so at most ``sample`` reach the driver.
+    single = rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    single = single.select("quality", F.col("t.text").alias("text"), (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held_out"))
+    found = single.mapInArrow(_features, "quality int, failed boolean, held_out boolean, x array<double>").filter("NOT failed").select("quality", "held_out", "x").collect()
+    y, held = np.array([r["quality"] for r in found], float), np.array([r["held_out"] for r in found], bool)
+    if len(set(y[~held].tolist())) < 2:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0)), 0.0
     x = np.array([r["x"] for r in found])
-    order = np.lexsort((*x.T, y))  # arrival order of rows must not matter
-    x, y = x[order], y[order]
-    model = train(x, y, monotone=MONOTONE)
-    return model, min(0.5, threshold_keeping(model.probability(x), y, keep_good))
+    order = np.lexsort((*x.T, y, held))
+    x, y, held = x[order], y[order], held[order]
+    model = train(x[~held], y[~held], monotone=MONOTONE)
+    return model, min(0.5, threshold_keeping(model.probability(x[held]), y[held], keep_good))
 
 
 def _score(model: Trees, threshold: float) -> Callable:

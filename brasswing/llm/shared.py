@@ -73,7 +73,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Rows of a few whole numbers that are sent to every executor, at most (about 100 bytes each).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def broadcast_if_few(table: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ END_ID = 2
 SHARD_TOKENS = 64 << 20
 #: Text bytes a range should hold: sets the number of ranges.
 RANGE_BYTES = 64 << 20
-#: Estimates from here on mean that the size is not known.
+#: Estimates from here on mean that the size is not known; texts are then measured.
 UNKNOWN_BYTES = 1 << 50
 #: New pieces in one call of the library.
 JOINED = 64
@@ -165,9 +165,13 @@ def write_shards(docs: DataFrame, root: str | None = None, tokenizer: str | None
     if ranges is None:
         size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         least = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-        ranges = max(least, -(-size // RANGE_BYTES)) if size < UNKNOWN_BYTES else least
-    dealt = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        if size >= UNKNOWN_BYTES:
+            size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(least, -(-size // RANGE_BYTES))
+    # The row's number deals out rows that are equal otherwise, if they are many.
+    keyed = rows.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), "text_hash", "row")
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash", "text").select("doc_id", "text")
     run = _write_range(root, tokenizer or tokenizer_path(), shard_tokens, end_id)
     manifest = scratch.table(ordered.mapInArrow(run, MANIFEST))
     # One row a file: ranges of files are summed first, so no window holds more than one range's files or one row a range.
@@ -209,10 +213,10 @@ def read_shards(manifest: DataFrame, root: str) -> DataFrame:
     return pick(manifest, "path", "bytes", "start").repartition(n, F.xxhash64("path")).mapInArrow(_read_shards(root), ROWS)
 
 
-def lookup(manifest: DataFrame, root: str, doc_id: int) -> list[np.ndarray]:
-    """Token ids under one identifier: files by key range, then Bloom filter and binary search in each."""
+def lookup(manifest: DataFrame, root: str, doc_id: int | None) -> list[np.ndarray]:
+    """Token ids under one identifier, which may be null: files by key range, then Bloom filter and binary search in each."""
     fs, _ = filesystem(root)
-    near = manifest.filter((F.col("first_id") <= doc_id) | F.col("first_id").isNull()).filter(F.col("last_id") >= doc_id)
+    near = manifest.filter("first_id IS NULL") if doc_id is None else manifest.filter((F.col("first_id") <= doc_id) | F.col("first_id").isNull()).filter(F.col("last_id") >= doc_id)
     found = []
     for row in near.orderBy("part", "seq").collect():
         with fs.open_input_file(row["path"]) as file:

@@ -34,7 +34,8 @@ RANGE_BYTES = 8 << 20
 HEAD_BYTES = 64 << 10
 #: Groups of equal payloads that are sent to every executor, at most (about 100 bytes each); beyond it the join is shuffled.
 BROADCAST_GROUPS = 500_000
-SALTS = 8
+#: Rows of a group from which on it counts as large: 10^10 pages hold at most 10^5 such groups.
+LARGE_GROUP = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -152,16 +153,18 @@ def plan_records(pages: DataFrame) -> DataFrame:
         .groupBy("digest")
         .agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 AND largest IS NOT NULL")
-        .select(F.col("digest").alias("d"), "largest")
+        .select(F.col("digest").alias("d"), "largest", "n")
     )
     groups = Scratch(pages.sparkSession).table(groups)
     if groups.count() <= BROADCAST_GROUPS:
         joined = rows.join(F.broadcast(groups), F.col("digest") == F.col("d"), "left")
     else:
-        # Rows of one payload are spread by page; the groups with copies are repeated once a salt.
-        spread = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-        copies = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("s", F.col("s").cast("bigint"))
-        joined = spread.join(copies, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
+        # Large groups are few by their size and are sent to the rows; their rows, and those too small for a group, are dealt out instead of gathered by digest.
+        large = groups.filter(F.col("n") > LARGE_GROUP).select(F.col("d").alias("large_d"), F.col("largest").alias("of_large"))
+        marked = rows.join(F.broadcast(large), F.col("digest") == F.col("large_d"), "left")
+        alone = F.col("large_d").isNotNull() | (F.col("size") < REVISIT_BYTES)
+        dealt = marked.withColumn("k", F.when(alone, F.concat(F.lit("row "), F.monotonically_increasing_id())).otherwise(F.col("digest")))
+        joined = dealt.join(groups.select("d", F.col("largest").alias("of_group")), F.col("k") == F.col("d"), "left").withColumn("largest", F.coalesce("of_large", "of_group"))
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
 
