@@ -16,8 +16,12 @@ def read_relation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def radix_partition(df: DataFrame, key: str = "key", bits: int = 10) -> DataFrame:
-    """Deal rows into 2^bits partitions by key and label each row with its partition."""
-    return df.repartition(1 << bits, key).withColumn("partition", F.spark_partition_id())
+    """Label each row with one of 2^bits partitions by the hash of its key, and deal rows by label.
+
+    A partition stays together in one task; how many partitions a task takes is
+    left to the runtime, so many small ones do not cost a task each.
+    """
+    return df.withColumn("partition", F.pmod(F.hash(key), F.lit(1 << bits))).repartition("partition")
 
 
 def partition_totals(df: DataFrame, key: str = "key", bits: int = 10) -> DataFrame:
@@ -29,9 +33,11 @@ def partition_totals(df: DataFrame, key: str = "key", bits: int = 10) -> DataFra
 
 
 def split_keys(df: DataFrame, key: str = "key", bits: int = 10) -> DataFrame:
-    """(n_keys, n_split, in_range): distinct keys, those in more than one partition, and whether all partitions are below 2^bits."""
-    per_key = radix_partition(df, key, bits).groupBy(key).agg(F.min("partition").alias("low"), F.max("partition").alias("high"))
-    inside = (F.min("low") >= 0) & (F.max("high") < (1 << bits))
+    """(n_keys, n_split, in_range): distinct keys, those whose rows were dealt to more than one task or label, and whether all labels are below 2^bits."""
+    dealt = radix_partition(df, key, bits).withColumn("task", F.spark_partition_id())
+    place = F.struct("task", "partition")
+    per_key = dealt.groupBy(key).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    inside = (F.min("low.partition") >= 0) & (F.max("high.partition") < (1 << bits))
     return per_key.agg(F.count("*").alias("n_keys"), F.sum((F.col("low") != F.col("high")).cast("bigint")).alias("n_split"), inside.alias("in_range"))
 
 

@@ -72,7 +72,7 @@ day = lambda s: F.lit(s).cast("date")
       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
 )
 def q6_revenue(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "lineitem").filter(
+    rows = load(spark, d, "lineitem", {"l_discount": (0.05, 0.07), "l_quantity": (None, 24)}).filter(
         (c("l_shipdate") >= day("1996-01-01"))
         & (c("l_shipdate") < day("1997-01-01"))
         & F.expr("l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
@@ -130,7 +130,7 @@ def q4_exists_semi(spark: SparkSession, d: str) -> DataFrame:
     orders = load(spark, d, "orders").filter(
         (c("o_orderdate") >= day("1996-01-01")) & (c("o_orderdate") < day("1997-01-01"))
     )
-    big = load(spark, d, "lineitem").filter(c("l_quantity") > 40).select("l_orderkey")
+    big = load(spark, d, "lineitem", {"l_quantity": (40, None)}).filter(c("l_quantity") > 40).select("l_orderkey")
     return A.grouped(J.exists(orders, big, [("o_orderkey", "l_orderkey")]), ["o_orderpriority"], F.count("*").alias("order_count"))
 
 

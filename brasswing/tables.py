@@ -43,9 +43,19 @@ PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` under ``sf_dir`` with its boundary casts."""
+def load(spark: SparkSession, sf_dir: str, name: str, bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """Table ``name`` under ``sf_dir`` with its boundary casts.
+
+    ``bounds`` gives money columns a range (low, high) that a later filter implies.
+    It is widened by a cent and put on the raw column, where the Parquet reader can
+    skip row groups; the cast column would keep it from doing so.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    for column, (low, high) in (bounds or {}).items():
+        if low is not None:
+            df = df.filter(F.col(column) >= low - 0.01)
+        if high is not None:
+            df = df.filter(F.col(column) <= high + 0.01)
     casts = BOUNDARY.get(name, {})
     return df.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in df.columns])
 
