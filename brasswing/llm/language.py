@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brasswing.llm.pieces import Codes, Table, kept, slices, texts_of
-from brasswing.llm.shared import bounded_batches, pick
+from brasswing.llm.shared import Scratch, bounded_batches, broadcast_if_few, pick
 from brasswing.llm.unigram import BLANK, Vocabulary
 
 #: Labelled documents a language is fitted on, at most, and rounds of expectation-maximisation.
@@ -220,9 +220,9 @@ def _sample(rows: DataFrame, sample: int) -> DataFrame:
     that ranking a language does not take rows from every task.
     """
     size = F.approx_count_distinct("doc_id")
-    share = rows.groupBy("lang").agg((F.lit(4.0 * sample) / size).alias("share"))
+    share = Scratch(rows.sparkSession).table(rows.groupBy("lang").agg((F.lit(4.0 * sample) / size).alias("share")))
     place = (F.xxhash64("doc_id") / F.lit(float(2**64)) + 0.5).alias("place")
-    few = rows.select("doc_id", "lang", place).join(share, "lang").filter("place <= share").select("doc_id", "lang", "place").distinct()
+    few = rows.select("doc_id", "lang", place).join(broadcast_if_few(share), "lang").filter("place <= share").select("doc_id", "lang", "place").distinct()
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
     return ranked.filter(F.col("r") <= sample).select("doc_id", "lang")
 
