@@ -377,3 +377,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates over all of ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")
+
+
+#: The same over whole tables for DuckDB: shared shingles counted by a self-join, and reachability. It takes the square of popular shingles and groups, so it is for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM places
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM texts WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c.n >= 75 * (a.n + b.n - c.n)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT t.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, component_id, t.doc_id = component_id AS kept
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id JOIN least ON x = t.doc_id
+"""

@@ -16,7 +16,7 @@ _QUERIES = {
     "op9_sentencepiece": unigram.op9_sentencepiece,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-_ORACLES = {"op8_warc": warc.OP8_SQL.strip()}
+_ORACLES = {"op3_near_duplicates": near_duplicates.OP3_SQL.strip(), "op8_warc": warc.OP8_SQL.strip()}
 
 
 def queries():

@@ -82,6 +82,11 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_duplicates_against_oracle(spark, sf_dir):
+    for d in (sf_dir, "/root/testdata/sf0.01"):
+        same(near_duplicates.op3_near_duplicates(spark, d), connect(d), queries.oracle_sql()["op3_near_duplicates"])
+
+
 def counted_components(rows):
     """The same by counting shared shingles over posting lists: fit for some thousand texts."""
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
