@@ -2,6 +2,7 @@ import pytest
 from oracle import connect, same
 
 import __spark_entry__ as entry_module
+from brasswing.plans import explain
 from brasswing.plans import queries as Q
 from brasswing.tables import load
 
@@ -27,7 +28,7 @@ def test_registry_is_consistent():
 
 def test_bounds_reach_the_reader_and_keep_rows(spark, sf_dir):
     bounded = load(spark, sf_dir, "lineitem", {"l_discount": (0.05, 0.07), "l_quantity": (None, 24)})
-    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    plan = explain.text(bounded)
     assert "GreaterThanOrEqual(l_discount" in plan and "LessThanOrEqual(l_quantity" in plan
     wanted = "l_discount BETWEEN 0.05 AND 0.07 AND l_quantity <= 24"
     assert bounded.filter(wanted).count() == load(spark, sf_dir, "lineitem").filter(wanted).count() > 0
