@@ -13,7 +13,8 @@
    Documents without a link then form stars among themselves in the same way.
 4. Inside a star, documents that are still in different components are compared
    exactly by their differences from the hub, where one of them is not linked to the
-   hub and bounds on sizes allow a link.
+   hub and bounds on sizes allow a link. Components that meet are joined at once, so
+   one link of two components is given, not all.
 5. Lists that still hold several components: documents of different stars and
    different components meet, those outside the list's largest component with all
    of the list. Sizes and a signature of ``BITS`` one-bit coordinates decide which
@@ -50,7 +51,7 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Documents of a star or list that one task compares with those outside its main component.
 STAR_BLOCK = 256
 #: Texts that one task compares with their hub.
-TEXT_BLOCK = 256
+TEXT_BLOCK = 64
 #: One-bit coordinates, and how many may differ. At similarity 0.75 an eighth of 1024 does; 184 or more with a chance of about 1e-7.
 BITS, DIFFERENT = 1024, 184
 
@@ -243,32 +244,93 @@ def _placed(scratch: Scratch, postings: DataFrame, joined: DataFrame) -> DataFra
     return rooted.join(broadcast_if_few(lists), "token")
 
 
+class _Block:
+    """Members of one block of a star, to be searched for links of documents that are not linked to the hub."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.ids, self.root, self.size, self.common, self.hub_size = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        self.loose = np.array([r[5] for r in rows], bool)
+        self.lacking, self.added = (self._index([r[k] for r in rows]) for k in (6, 7))
+        self.n_lacking, self.n_added = (np.array([len(r[k]) for r in rows], np.int64) for k in (6, 7))
+        self.parent: dict[int, int] = {}
+
+    @staticmethod
+    def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        order = np.argsort(values, kind="stable")
+        return values[order], np.repeat(np.arange(len(sets)), np.array([len(s) for s in sets], np.int64))[order]
+
+    def _shared(self, index: tuple[np.ndarray, np.ndarray], of: np.ndarray) -> np.ndarray:
+        """How many of the values each member holds."""
+        low, high = np.searchsorted(index[0], of, "left"), np.searchsorted(index[0], of, "right")
+        sizes = high - low
+        at = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+        return np.bincount(index[1][at], minlength=len(self.ids))
+
+    def find(self, root: int) -> int:
+        while (up := self.parent.get(root, root)) != root:
+            root = up
+        return root
+
+    def links(self, x: int, root: int, size: int, common: int, lacking: np.ndarray, added: np.ndarray) -> Iterator[int]:
+        """Members linked to ``x``, one for each component that was not joined to that of ``x`` before."""
+        mine = self.find(root)
+        at_most = np.minimum(self.common, common) + np.minimum(self.n_added, len(added))
+        enough = lambda shared: (100 + PERCENT) * shared >= PERCENT * (self.size + size)
+        may = (self.root != mine) & (~self.loose | (self.ids > x)) & enough(at_most)
+        if not may.any():
+            return
+        missing = len(lacking) + self.n_lacking - self._shared(self.lacking, lacking)
+        found = np.flatnonzero(may & enough(self.hub_size - missing + self._shared(self.added, added)))
+        for i in found.tolist():
+            other = int(self.root[i])
+            if other != mine:
+                self.parent[other] = mine
+                self.root[self.root == other] = mine
+                yield int(self.ids[i])
+
+
+_STAR_ROW = ("id", "root", "size", "common", "hub_size", "loose")
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within blocks; of a block, its members come first and then the documents to search for."""
+    at, members, block = None, [], None
+    for batch in batches:
+        lists = []
+        for name in ("lacking", "added"):
+            column = batch.column(name)
+            cuts = np.asarray(column.offsets, np.int64)
+            lists.append((np.asarray(column.values, np.int64), cuts))
+        rows, pairs = zip(*[batch.column(n).to_pylist() for n in ("hub", "block", "asks", *_STAR_ROW)], strict=True), []
+        for i, (hub, number, asks, *row) in enumerate(rows):
+            if (hub, number) != at:
+                at, members, block = (hub, number), [], None
+            lacking, added = (values[cuts[i] : cuts[i + 1]] for values, cuts in lists)
+            if not asks:
+                members.append((*row, lacking.copy(), added.copy()))
+                continue
+            block = block or _Block(members)
+            pairs += [(row[0], y) for y in block.links(row[0], row[1], row[2], row[3], lacking, added)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
 def _inside_stars(scratch: Scratch, compared: DataFrame, joined: DataFrame) -> DataFrame:
     """Links (a, b) of documents with one hub but in different components, of which a is not linked to the hub.
 
     With P the hub's set: common(a, b) = |P| - |lacking a or b| + |added to both|. Large
-    stars are dealt out: b's over as many blocks as the star needs, a's to each block.
+    stars are dealt out: members over as many blocks as the star needs, documents to be
+    searched for to each block. A block gives at most one link for every two components that meet in it.
     """
     rooted = compared.join(joined.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     star = rooted.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     member = rooted.join(broadcast_if_few(scratch.table(star.select("b", _blocks(F.col("n"), STAR_BLOCK).alias("blocks")))), "b")
     loose = ~similar(F.col("common"), F.col("size_a"), F.col("size_b"))
-    left = member.filter(loose).select(
-        F.col("b").alias("hub"), _spread("blocks").alias("block"), F.col("a").alias("x"), F.col("root").alias("root_x"),
-        F.col("size_a").alias("size_x"), F.col("common").alias("common_x"), F.col("lacking").alias("lacking_x"), F.col("added").alias("added_x"),
-    )
-    right = member.select(
-        F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.col("a").alias("y"), F.col("root").alias("root_y"), loose.alias("loose_y"), F.col("size_b").alias("size_hub"),
-        F.col("size_a").alias("size_y"), F.col("common").alias("common_y"), F.col("lacking").alias("lacking_y"), F.col("added").alias("added_y"),
-    )
-    at_most = F.least("common_x", "common_y") + F.least(F.size("added_x"), F.size("added_y"))
-    lacking = F.size("lacking_x") + F.size("lacking_y") - F.size(F.array_intersect("lacking_x", "lacking_y"))
-    common = F.col("size_hub") - lacking + F.size(F.array_intersect("added_x", "added_y"))
-    once = ~F.col("loose_y") | (F.col("x") < F.col("y"))
-    may = (F.col("root_x") != F.col("root_y")) & once & similar(at_most, F.col("size_x"), F.col("size_y"))
-    found = F.when(may, similar(common, F.col("size_x"), F.col("size_y"))).otherwise(F.lit(False))
-    same = (left["hub"] == right["hub"]) & (left["block"] == right["block"])
-    return left.join(right, same & found).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    row = [F.col("a").alias("id"), "root", F.col("size_a").alias("size"), "common", F.col("size_b").alias("hub_size"), loose.alias("loose"), "lacking", "added"]
+    members = member.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.lit(False).alias("asks"), *row)
+    asking = member.filter(loose).select(F.col("b").alias("hub"), _spread("blocks").alias("block"), F.lit(True).alias("asks"), *row)
+    dealt = members.unionByName(asking).repartition("hub", "block").sortWithinPartitions("hub", "block", "asks")
+    return dealt.mapInArrow(_search_blocks, "a bigint, b bigint")
 
 
 def _across_stars(scratch: Scratch, texts: Texts, placed: DataFrame, stars: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -239,3 +239,28 @@ def test_bit_signatures_follow_similarity():
         other = np.concatenate((base[changed:], r.integers(0, 2**63, changed).astype(np.uint64)))
         a, b = near_duplicates.bit_signature(base), near_duplicates.bit_signature(other)
         assert low <= sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= high
+
+
+def test_star_blocks_against_plain_sets():
+    r = random.Random(8)
+    for _ in range(60):
+        hub = set(range(40))
+        sets = {i: {x if r.random() > 0.3 * r.random() else 100 + r.randint(0, 12) for x in r.sample(sorted(hub), r.randint(25, 40))} for i in range(30)}
+        linked = lambda a, b: 175 * len(a & b) >= 75 * (len(a) + len(b))
+        roots = {i: -1 if linked(s, hub) else i for i, s in sets.items()}
+        as_array = lambda s: np.array(sorted(s), np.int64)
+        rows = {i: (i, roots[i], len(s), len(s & hub), len(hub), not linked(s, hub), as_array(hub - s), as_array(s - hub)) for i, s in sets.items()}
+        block, found = near_duplicates._Block(list(rows.values())), []
+        for i, row in rows.items():
+            if row[5]:
+                found += [(i, y) for y in block.links(row[0], row[1], row[2], row[3], row[6], row[7])]
+        assert all(linked(sets[a], sets[b]) for a, b in found) and len(found) < 30
+
+        def parts(edges, roots=roots):
+            of = dict(roots)
+            for a, b in edges:
+                x, y = of[a], of[b]
+                of = {k: x if v == y else v for k, v in of.items()}
+            return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+        assert parts(found) == parts([(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])])
