@@ -148,10 +148,19 @@ def kept(key: tuple, make: Callable[[], object]):
     return _KEPT[key]
 
 
+def in_order(names: list[str], found: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What ``Ragged`` learns, from one array of ids a piece."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return names, sizes, np.concatenate(found) if found else np.zeros(0, np.int32)
+
+
 class Ragged:
-    """Variable-length id sequences of pieces in one growing array, bounded in pieces."""
+    """Variable-length id sequences of pieces in one growing array, bounded in pieces.
 
-    def __init__(self, learn: Callable[[list[str]], list[np.ndarray]], limit: int = LIMIT) -> None:
+    ``learn`` gives the pieces in an order of its choice, the number of ids of each, and all ids in that order.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = LIMIT) -> None:
         self.learn, self.limit = learn, limit
         self._reset()
 
@@ -170,12 +179,11 @@ class Ragged:
         fresh = [p for p in names if p not in index]
         if fresh:
             self._characters += sum(map(len, fresh))
-            new = self.learn(fresh)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            starts = len(self.data) + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-            index.update(zip(fresh, range(len(self.starts), len(self.starts) + len(fresh)), strict=True))
+            learnt, sizes, ids = self.learn(fresh)
+            starts = len(self.data) + np.cumsum(sizes) - sizes
+            index.update(zip(learnt, range(len(self.starts), len(self.starts) + len(learnt)), strict=True))
             self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
-            self.data = np.concatenate((self.data, *new)).astype(np.int32)
+            self.data = np.concatenate((self.data, ids)).astype(np.int32)
         at = np.fromiter(map(index.__getitem__, names), np.int64, len(names))[coded.codes]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brasswing.llm.pieces import Codes, Ragged, slices, texts_of
+from brasswing.llm.pieces import Codes, Ragged, in_order, slices, texts_of
 from brasswing.llm.shared import Scratch, filesystem, pick, shared_dir
 from brasswing.llm.sstable import Reader, Writer, id_of, key_of
 
@@ -72,18 +72,27 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
 
-    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
+    def _learn(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Encode new pieces; those that begin with a blank go many to a call and are parted at their blanks."""
-        out: dict[int, np.ndarray] = {}
-        blank = [i for i, p in enumerate(pieces) if p[:1] == " " and len(p) > 1]
+        blank, rest = [], []
+        for p in pieces:
+            (blank if p[:1] == " " and len(p) > 1 else rest).append(p)
         groups = [blank[i : i + JOINED] for i in range(0, len(blank), JOINED)]
-        for group, ids in zip(groups, self._library(["".join(pieces[i] for i in g) for g in groups]), strict=True):
-            cuts = np.flatnonzero(self.begins[ids])
-            if len(cuts) == len(group):
-                out.update(zip(group, np.split(ids, cuts[1:]), strict=True))
-        rest = [i for i in range(len(pieces)) if i not in out]
-        out.update(zip(rest, self._library([pieces[i] for i in rest]), strict=True))
-        return [out[i] for i in range(len(pieces))]
+        names, sizes, ids = [], [], []
+        if groups:
+            found = self._library(["".join(g) for g in groups])
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            joined = np.concatenate(found)
+            begins = self.begins[joined]
+            sound = np.add.reduceat(begins, np.cumsum(lengths) - lengths) == [len(g) for g in groups]
+            cuts = np.flatnonzero(begins[np.repeat(sound, lengths)])
+            ids.append(joined[np.repeat(sound, lengths)])
+            sizes.append(np.diff(np.append(cuts, len(ids[0]))))
+            for group, ok in zip(groups, sound.tolist(), strict=True):
+                (names if ok else rest).extend(group)
+        alone = self._library(rest)
+        _, each, last = in_order(rest, alone)
+        return [*names, *rest], np.concatenate((*sizes, each)), np.concatenate((*ids, last))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""

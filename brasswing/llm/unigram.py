@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from brasswing.llm.pieces import Codes, Ragged, Table, kept, slices, texts_of
+from brasswing.llm.pieces import Codes, Ragged, Table, in_order, kept, slices, texts_of
 from brasswing.llm.shared import bounded_batches, pick
 
 BLANK = "▁"
@@ -187,7 +187,7 @@ class Counter:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.table = Ragged(lambda names: [np.array(vocabulary.segment(c), np.int32) for c in names], KNOWN)
+        self.table = Ragged(lambda names: in_order(names, [np.array(vocabulary.segment(c), np.int32) for c in names]), KNOWN)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
