@@ -10,7 +10,6 @@
 3. Stars: every list has a hub, its document with the most collisions overall. A
    document joins the hub that it meets most often, if enough coordinates are equal;
    the full sets are compared once, and what each lacks of the other is kept.
-   Documents without a link then form stars among themselves in the same way.
 4. Inside a star, documents that are still in different components are compared
    exactly by their differences from the hub, where one of them is not linked to the
    hub and bounds on sizes allow a link. Components that meet are joined at once, so
@@ -48,8 +47,8 @@ COORDINATES = 32
 #: Equal coordinates a candidate needs. At similarity 0.75 fewer than 12 of 32 has a chance of about 1e-6.
 MATCHES = 12
 PREFIX = COORDINATES - MATCHES + 1
-#: Documents of a star or list that one task compares with those outside its main component.
-STAR_BLOCK = 256
+#: Documents of a star or list, and documents outside its main component, that meet in one block.
+STAR_BLOCK, ASK_BLOCK = 256, 512
 #: Texts that one task compares with their hub.
 TEXT_BLOCK = 64
 #: One-bit coordinates, and how many may differ. At similarity 0.75 an eighth of 1024 does; 184 or more with a chance of about 1e-7.
@@ -327,9 +326,15 @@ def _inside_stars(scratch: Scratch, compared: DataFrame, joined: DataFrame) -> D
     member = rooted.join(broadcast_if_few(scratch.table(star.select("b", _blocks(F.col("n"), STAR_BLOCK).alias("blocks")))), "b")
     loose = ~similar(F.col("common"), F.col("size_a"), F.col("size_b"))
     row = [F.col("a").alias("id"), "root", F.col("size_a").alias("size"), "common", F.col("size_b").alias("hub_size"), loose.alias("loose"), "lacking", "added"]
-    members = member.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.lit(False).alias("asks"), *row)
-    asking = member.filter(loose).select(F.col("b").alias("hub"), _spread("blocks").alias("block"), F.lit(True).alias("asks"), *row)
-    dealt = members.unionByName(asking).repartition("hub", "block").sortWithinPartitions("hub", "block", "asks")
+    # A block is a row of members times a column of documents that ask: both sides are bounded.
+    columns = F.ceil(F.col("blocks") * STAR_BLOCK / ASK_BLOCK).cast("bigint")
+    member = member.withColumn("columns", columns)
+    number = F.col("r") * F.col("columns") + F.col("c")
+    members = member.withColumns({"r": F.pmod(F.xxhash64("a"), F.col("blocks")), "c": _spread("columns")})
+    asking = member.filter(loose).withColumns({"c": F.pmod(F.xxhash64("a"), F.col("columns")), "r": _spread("blocks")})
+    hub = F.col("b").alias("hub")
+    dealt = members.select(hub, number.alias("block"), F.lit(False).alias("asks"), *row).unionByName(asking.select(hub, number.alias("block"), F.lit(True).alias("asks"), *row))
+    dealt = dealt.repartition("hub", "block").sortWithinPartitions("hub", "block", "asks")
     return dealt.mapInArrow(_search_blocks, "a bigint, b bigint")
 
 
@@ -363,10 +368,6 @@ def links(scratch: Scratch, texts: Texts, representatives: DataFrame) -> DataFra
     stars = _stars(scratch, postings, signatures)
     compared = texts.compare(stars)
     edges = scratch.table(compared.filter(linked(compared)).select("a", "b"))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    again = texts.compare(_stars(scratch, scratch.table(postings.join(ends, "id", "left_anti")), signatures))
-    edges = scratch.table(edges.unionByName(again.filter(linked(again)).select("a", "b")))
-    scratch.drop(again)
     joined = scratch.table(components(scratch, edges))
 
     edges = scratch.table(edges.unionByName(_inside_stars(scratch, compared, joined)))
