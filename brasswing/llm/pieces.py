@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at a time within a record batch; what a task holds besides the batch is a multiple of it.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct pieces, and characters of them, that a table remembers before it begins anew.
 LIMIT, LIMIT_CHARACTERS = 500_000, 16_000_000
 
@@ -24,6 +24,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -130,6 +131,16 @@ class Table:
         return self.values[at] if self.values is not None else np.empty(0, np.int64)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the worker's executor has use for it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:  # glibc keeps freed memory otherwise
+        _TRIM(0)
+
+
 _KEPT: dict[tuple, object] = {}
 
 
@@ -141,9 +152,7 @@ def kept(key: tuple, make: Callable[[], object]):
     """
     if key not in _KEPT:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
-            trim(0)
+        give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 

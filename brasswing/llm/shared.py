@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brasswing.session import shared_dir
 
 #: Rows, and about so many bytes, sent to a Python worker at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
