@@ -3,12 +3,11 @@
 A text becomes a sequence of tokens in which numbers, names (capitalised
 words inside a sentence) and units behind numbers are typed slots. Names show
 by their case only, so a text has a second form in which they are words like
-others; a pair that holds in either form is reported. Benchmark
-items give all windows of ``WINDOW`` template tokens; documents give their
-consecutive blocks of that many. A shared run of ``2 * WINDOW - 1`` template
-tokens therefore always holds a whole block of the document that equals a
-window of the item, while a document is probed once a block only. Joined
-blocks propose (document, item) pairs, which are then checked in full:
+others; a pair that holds in either form is reported. Items and documents
+give all their windows of ``WINDOW`` template tokens, at every position. A
+document is proposed for an item if enough of the item's different windows
+stand in it, by their hashes; no pair that holds is left out. Proposed pairs
+are then checked in full:
 
 * coverage: the share of the item's windows that stand anywhere in the document;
 * slots: in windows that match, one value of the item should always have
@@ -16,10 +15,11 @@ blocks propose (document, item) pairs, which are then checked in full:
   break that, as an item can use one number for several things. A
   re-parameterised question passes; a template that matches by chance does not,
   unless enough of its windows match without slots, or nearly all of them match,
-  or the item stands there word for word.
+  or the item stands there word for word. Where only windows without any word
+  match, half of the slots must have kept their values.
 
-Items with fewer than ``2 * WINDOW - 1`` tokens hold no such run. They are looked
-up word for word, numbers included, at every position of a document.
+Items with fewer than ``2 * WINDOW - 1`` tokens have too few windows for that. They
+are looked up word for word, numbers included, at every position of a document.
 
 All of it is SQL expressions and joins.
 """
@@ -82,23 +82,23 @@ def template(tokens: Column) -> Column:
     return F.regexp_replace(tokens, r"~([pnu])\S*", "~$1")
 
 
-def _blocks(tokens: Column) -> Column:
-    """Consecutive whole blocks of ``WINDOW`` template tokens."""
-    # Tried at beginnings of tokens only and without going back: linear in the text, however long a token is.
-    return F.regexp_extract_all(F.concat(tokens, F.lit(" ")), F.lit(rf"(?<!\S)(?:\S++ ){{{WINDOW}}}"), F.lit(0))
-
-
 def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _windows(tokens: Column) -> Column:
-    """Every window of ``WINDOW`` tokens, in the form of a block."""
+    """Every window of ``WINDOW`` tokens as a string, each token with a blank behind."""
     count = F.size(tokens) - (WINDOW - 1)
     each = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (WINDOW - 1)), lambda i: F.concat(F.array_join(F.slice(v, i, WINDOW), " "), F.lit(" ")))
     return F.when(count >= 1, let(tokens, each)).otherwise(F.array().cast("array<string>"))
 
 
+def _window_hashes(tokens: Column) -> Column:
+    """The 64-bit hash of every window of ``WINDOW`` tokens: a token is hashed once, and a window from the hashes of its tokens."""
+    each = lambda h: F.transform(h, lambda first, i: F.xxhash64(first, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.slice(each(h), 1, F.greatest(F.lit(0), F.size(h) - (WINDOW - 1))))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return pick(benchmark, "item_id", "text").filter("text IS NOT NULL").distinct()
 
@@ -127,17 +127,36 @@ def _few_windows(posted: DataFrame) -> bool:
     return posted.count() <= BROADCAST_WINDOWS
 
 
-def _proposed(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item, shift0, shift1): documents with a block of an item in one of the forms. Thin rows throughout: no hit carries its document."""
-    posted = items.select("item", F.posexplode("forms").alias("form", "f")).select("item", "form", F.posexplode("f.windows").alias("place", "window"))
-    posted = scratch.table(posted.select("item", "place", F.xxhash64("form", "window").alias("hash")))
+def _posted(items: DataFrame) -> DataFrame:
+    """(item, item_form, place, hash, enough) per window of an item and form; ``enough`` different ones must stand in a document."""
+    each = items.select("item", F.posexplode("forms").alias("item_form", "f"))
+    hashes = each.select("item", "item_form", _window_hashes(F.split(template(F.array_join("f.tokens", " ")), " ")).alias("hashes"))
+    return hashes.select("item", "item_form", (F.size(F.array_distinct("hashes")) * COVERAGE).alias("enough"), F.posexplode("hashes").alias("place", "hash"))
+
+
+def _probes(docs: DataFrame) -> DataFrame:
+    """(key, form, at, hash) per window of a document and form, at every position; the form is null where all forms are the same."""
     spoken = docs.select(doc_key().alias("key"), surface(F.col("text")).alias("spoken"))
-    both = [F.struct(F.lit(i).alias("form"), _blocks(template(f)).alias("blocks")) for i, f in enumerate(forms(F.col("spoken")))]
-    blocks = spoken.select("key", F.explode(F.array(*both)).alias("b")).select("key", "b.form", F.posexplode("b.blocks").alias("number", "block"))
-    hashed = blocks.select("key", "form", "number", F.xxhash64("form", "block").alias("hash"))
-    hit = hashed.join(F.broadcast(posted) if _few_windows(posted) else posted, "hash").select("key", "item", "form", (F.col("number") * WINDOW - F.col("place")).alias("shift"))
-    shifts = [F.mode(F.when(F.col("form") == i, F.col("shift")), True).alias(f"shift{i}") for i in range(FORMS)]
-    return hit.groupBy("key", "item").agg(*shifts)
+    both = [F.struct(F.lit(i).alias("form"), f.alias("tokens")) for i, f in enumerate(forms(F.col("spoken")))]
+    alike = F.struct(F.lit(None).cast("int").alias("form"), F.col("spoken").alias("tokens"))
+    each = spoken.select("key", F.explode(F.when(F.col("spoken").contains("~p"), F.array(*both)).otherwise(F.array(alike))).alias("f"))
+    return each.select("key", "f.form", F.posexplode(_window_hashes(F.split(template(F.col("f.tokens")), " "))).alias("at", "hash"))
+
+
+def _proposed(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, item, shift0, shift1): documents with enough windows of an item in one of the forms. Thin rows throughout: no hit carries its document."""
+    posted, probes = scratch.table(_posted(items)), _probes(docs)
+    if _few_windows(posted):
+        posted = F.broadcast(posted)
+    else:
+        probes = key_filter(scratch, posted.select("hash"))(probes, "wanted", "hash").filter("wanted").drop("wanted")
+    hit = probes.join(posted, "hash").filter(F.coalesce(F.col("form") == F.col("item_form"), F.lit(True)))
+    of = lambda i, name: F.when(F.col("item_form") == i, F.col(name))
+    hit = hit.select("key", "item", "item_form", "hash", "enough", (F.col("at") - F.col("place")).alias("shift"))
+    shifts = [F.mode(of(i, "shift"), True).alias(f"shift{i}") for i in range(FORMS)]
+    covered = [(F.size(F.collect_set(of(i, "hash"))) >= F.max(of(i, "enough"))).alias(f"covered{i}") for i in range(FORMS)]
+    pairs = hit.groupBy("key", "item").agg(*shifts, *covered)
+    return pairs.filter(" OR ".join(f"covered{i}" for i in range(FORMS))).drop(*[f"covered{i}" for i in range(FORMS)])
 
 
 def _short_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
@@ -208,7 +227,10 @@ def _verdict(item: Column, d: Column, found: Column, slots: Column) -> Column:
     words = F.size(F.array_distinct(F.filter(item["tokens"], lambda t: ~t.startswith("~"))))
     complete = (n_found >= n_windows * COMPLETE) & (words >= WINDOW)
     verbatim = F.concat(F.lit(" "), d["spoken"], F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join(item["tokens"], " "), F.lit(" ")))
-    kept = verbatim | ((n_found >= enough) & (consistent | (plain >= enough))) | complete
+    # Windows of nothing but slots match any row of numbers: alone, they count if most of their slots kept their values.
+    worded = F.exists(found, lambda w: w.rlike(r"(?<!\S)[^~\s]"))
+    same = _count(F.filter(slots, lambda s: s["asked"] == s["given"]), "place") >= _count(slots, "place") * COVERAGE
+    kept = verbatim | ((n_found >= enough) & ((consistent & (worded | same)) | (plain >= enough))) | complete
     return F.struct(kept.alias("kept"), (n_found / n_windows).alias("share"), n_found.alias("n_found"), n_windows.alias("n_windows"), (verbatim | consistent).alias("slots_consistent"))
 
 

@@ -130,3 +130,25 @@ def test_forms(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(*decontamination.forms(decontamination.surface(F.col("t")))).first()
     plain = [w.removeprefix("~p") for w in row[0].split(" ")]
     assert row[1].split(" ") == plain and "~p" not in row[1]
+
+
+def test_every_window_of_a_document_is_looked_up(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices(SYLLABLES, k=4))
+    windows = lambda text: {tuple(text.split(" ")[i : i + 5]) for i in range(len(text.split(" ")) - 4)}
+    items, texts = [], []
+    for n in (9, 10, 16, 24, 40):
+        words = [word() for _ in range(n)]
+        items.append(" ".join(words))
+        # Pieces of every length in every order, behind 0 to 9 other words: none, some or all of them share nine words in a row with the item.
+        for size in range(5, 12):
+            pieces = [words[i : i + size] for i in range(0, n, size)]
+            for before in range(10):
+                r.shuffle(pieces)
+                texts.append(" ".join([word() for _ in range(before)] + [w for p in pieces for w in [*p, word()]]))
+        texts += [" ".join([word() for _ in range(before)] + words[1 : 1 + size]) for before in range(10) for size in (6, 7, 8)]
+    share = lambda t, i: len(windows(t) & windows(i)) / len(windows(i))
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if share(t, item) >= 0.5}
+    assert 0 < len(want) < len(texts) and found(spark, items, texts) == want
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", -1)
+    assert found(spark, items, texts) == want
