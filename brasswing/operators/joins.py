@@ -6,6 +6,7 @@ the caller asks for one. A side is broadcast only after its size is checked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 16 << 20
 #: Left rows of one key from which on a salted join deals them out.
 HOT_ROWS = 1_000_000
+#: Pairs of rows with equal keys that a task of a blocked join compares; a few seconds of one core.
+TASK_PAIRS = 1 << 24
+#: Blocks of a task. They are dealt by hash: with one a task, the fullest of a thousand tasks gets six or more.
+TASK_BLOCKS = 16
+#: Most tasks that a blocked join asks for. Beyond it tasks take more blocks each.
+MOST_TASKS = 1 << 16
 
 Keys = str | Sequence[str | tuple[str, str]]
 
@@ -48,6 +55,46 @@ def equi_join(left: DataFrame, right: DataFrame, on: Keys, residual: Column | No
     return left.join(right, condition if residual is None else condition & residual, "inner")
 
 
+def blocked_join(left: DataFrame, right: DataFrame, on: tuple[str, str], residual: Column, pairs: int = TASK_PAIRS) -> DataFrame:
+    """Equi-join with a residual where few keys hold many rows of both sides, so that pairs far outnumber rows.
+
+    Such inputs are small in bytes, by which Spark sizes its tasks, while the pairs of a key grow
+    with the product of its rows. Rows are counted by key first. Up to ``pairs`` in all, this is a
+    plain join. Beyond, there are as many tasks as the total holds ``pairs``, a number that AQE
+    leaves alone, and a key with more pairs than a block is cut into blocks of about ``side`` rows
+    of each table, ``side`` being the square root of ``pairs / TASK_BLOCKS``. Each row has one block
+    of its own side and is repeated for the blocks of the other, so each pair meets once. At most
+    |left| + |right| + 2 |pairs of cut keys| / ``side`` rows are shuffled; tasks hold the rows of
+    one block. Cut keys are no more than blocks, so they are sent to every executor.
+
+    Rows are dealt by a hash of all their columns, so a task that is run again deals them alike;
+    identical rows stay together. Both key columns must have one type.
+    """
+    left_key, right_key = on
+    per_left = left.groupBy(F.col(left_key).alias("__key")).agg(F.count(F.lit(1)).cast("double").alias("__l"))
+    per_right = right.groupBy(F.col(right_key).alias("__key_r")).agg(F.count(F.lit(1)).cast("double").alias("__r"))
+    keys = per_left.join(per_right, F.col("__key") == F.col("__key_r")).withColumn("__n", F.col("__l") * F.col("__r"))
+    total = keys.agg(F.sum("__n")).first()[0] or 0
+    if total <= pairs:
+        return equi_join(left, right, [on], residual)
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(total / pairs)))
+    side = math.sqrt(pairs / TASK_BLOCKS)
+    blocks = lambda n: F.ceil(F.col(n) / side).cast("int")
+    hot = keys.filter(F.col("__n") > side * side).select(F.col("__key").alias("__hot"), blocks("__l").alias("__of_left"), blocks("__r").alias("__of_right"))
+
+    def dealt(table: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        row = F.xxhash64(*[table[n] for n in table.columns])
+        out = table.join(F.broadcast(hot), table[key] == hot["__hot"], "left")
+        out = out.withColumn(f"__{own}", F.pmod(row, F.coalesce(f"__of_{own}", F.lit(1))).cast("int"))
+        out = out.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"__of_{other}", F.lit(1)) - 1)))
+        return out.drop("__hot", "__of_left", "__of_right").repartition(tasks, key, "__left", "__right")
+
+    a = dealt(left, left_key, "left", "right").withColumnsRenamed({"__left": "__a_left", "__right": "__a_right"})
+    b = dealt(right, right_key, "right", "left").withColumnsRenamed({"__left": "__b_left", "__right": "__b_right"})
+    joined = equi_join(a, b.hint("merge"), [on, ("__a_left", "__b_left"), ("__a_right", "__b_right")], residual)
+    return joined.drop("__a_left", "__a_right", "__b_left", "__b_right")
+
+
 def broadcast_join(left: DataFrame, right: DataFrame, on: Keys) -> DataFrame:
     """Global hash table on ``right`` when it is small enough, a shuffled join otherwise."""
     return equi_join(left, broadcast_if_small(right), on)

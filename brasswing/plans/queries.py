@@ -260,8 +260,9 @@ def join_nl_theta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("join_self", "SELECT a.s_suppkey AS left_key, b.s_suppkey AS right_key FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey WHERE a.s_suppkey < b.s_suppkey")
 def join_self(spark: SparkSession, d: str) -> DataFrame:
-    a, b = load(spark, d, "supplier").alias("a"), load(spark, d, "supplier").alias("b")
-    return a.join(b, (c("a.s_nationkey") == c("b.s_nationkey")) & (c("a.s_suppkey") < c("b.s_suppkey"))).select(c("a.s_suppkey").alias("left_key"), c("b.s_suppkey").alias("right_key"))
+    a = load(spark, d, "supplier").select(c("s_nationkey").alias("left_nation"), c("s_suppkey").alias("left_key"))
+    b = load(spark, d, "supplier").select(c("s_nationkey").alias("right_nation"), c("s_suppkey").alias("right_key"))
+    return J.blocked_join(a, b, ("left_nation", "right_nation"), c("left_key") < c("right_key")).select("left_key", "right_key")
 
 
 @query("join_composite", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
@@ -273,8 +274,9 @@ def join_composite(spark: SparkSession, d: str) -> DataFrame:
 
 @query("join_residual_theta", "SELECT c_custkey, s_suppkey FROM {customer} c JOIN {supplier} s ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal WHERE c_mktsegment = 'BUILDING'")
 def join_residual_theta(spark: SparkSession, d: str) -> DataFrame:
-    customers, suppliers = load(spark, d, "customer").filter(c("c_mktsegment") == "BUILDING"), load(spark, d, "supplier")
-    return J.equi_join(customers, suppliers, [("c_nationkey", "s_nationkey")], customers["c_acctbal"] < suppliers["s_acctbal"]).select("c_custkey", "s_suppkey")
+    customers = load(spark, d, "customer").filter(c("c_mktsegment") == "BUILDING").select("c_custkey", "c_nationkey", "c_acctbal")
+    suppliers = load(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return J.blocked_join(customers, suppliers, ("c_nationkey", "s_nationkey"), c("c_acctbal") < c("s_acctbal")).select("c_custkey", "s_suppkey")
 
 
 @query("join_salted", "SELECT o_orderpriority, COUNT(*) AS n FROM {lineitem} l JOIN {orders} o ON l_orderkey = o_orderkey GROUP BY o_orderpriority")

@@ -2,12 +2,14 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from brasswing import Engine
 from brasswing.dialect import classify, normalise_select, split_script
 from brasswing.functions.registry import Function
 from brasswing.operators import joins, keyed, partitioning
 from brasswing.plans import statistics
+from brasswing.plans.queries import queries
 from brasswing.sources import sinks
 from brasswing.sources.delimited import skipped_rows
 
@@ -231,3 +233,30 @@ def test_salted_join_of_hot_keys(spark):
     got = joins.salted_join(left, right, "k", salts=4, hot_rows=100)
     want = left.join(right, "k")
     assert values(got.select("k", "v", "n")) == values(want.select("k", "v", "n"))
+
+
+def test_blocked_join_meets_each_pair_once(spark):
+    rng = random.Random(5)
+    keys = [None] * 20 + [1] * 400 + [2] * 90 + list(range(3, 60))
+    rows = lambda extra: [(k, rng.randrange(1000), i) for i, k in enumerate(keys + extra)]
+    lefts, rights = rows([100] * 50), rows([200] * 50 + [1] * 3)
+    left = spark.createDataFrame(lefts + [(2, 5, 0)] * 7, "a int, x int, i int")
+    right = spark.createDataFrame(rights + [(2, 900, 0)] * 3, "b int, y int, j int")
+    want = sorted((*p, *q) for p in lefts + [(2, 5, 0)] * 7 for q in rights + [(2, 900, 0)] * 3 if p[0] is not None and p[0] == q[0] and p[1] < q[1])
+    for pairs in (2_000, 20_000, 1 << 24):
+        got = joins.blocked_join(left, right, ("a", "b"), F.col("x") < F.col("y"), pairs=pairs)
+        assert got.columns == ["a", "x", "i", "b", "y", "j"]
+        assert sorted(map(tuple, got.collect())) == want
+    nothing = joins.blocked_join(left, right.filter("b = 0"), ("a", "b"), F.col("x") < F.col("y"), pairs=2_000)
+    assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("name", ["join_residual_theta", "join_self"])
+def test_pairs_of_one_nation_are_dealt_to_many_tasks(spark, tmp_path, name):
+    customers = spark.range(12_000).selectExpr("id AS c_custkey", "7 AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal", "'BUILDING' AS c_mktsegment")
+    suppliers = spark.range(6_000).selectExpr("id AS s_suppkey", "7 AS s_nationkey", "CAST(2 * id AS DOUBLE) AS s_acctbal")
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    suppliers.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    sizes = [r["count"] for r in queries()[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == (sum(2 * i for i in range(6_000)) if name == "join_residual_theta" else 6_000 * 5_999 // 2)
+    assert len(sizes) > 1 and max(sizes) < sum(sizes) * 0.75
