@@ -64,8 +64,9 @@ def blocked_join(left: DataFrame, right: DataFrame, on: tuple[str, str], residua
     leaves alone, and a key with more pairs than a block is cut into blocks of about ``side`` rows
     of each table, ``side`` being the square root of ``pairs / TASK_BLOCKS``. Each row has one block
     of its own side and is repeated for the blocks of the other, so each pair meets once. At most
-    |left| + |right| + 2 |pairs of cut keys| / ``side`` rows are shuffled; tasks hold the rows of
-    one block. Cut keys are no more than blocks, so they are sent to every executor.
+    |left| + |right| + 2 |pairs of cut keys| / ``side`` rows are shuffled, behind a first deal
+    of the tables themselves where one split would make too many copies; tasks hold the rows of one
+    block. Cut keys are no more than blocks, so they are sent to every executor.
 
     Rows are dealt by a hash of all their columns, so a task that is run again deals them alike;
     identical rows stay together. Both key columns must have one type.
@@ -79,12 +80,15 @@ def blocked_join(left: DataFrame, right: DataFrame, on: tuple[str, str], residua
         return equi_join(left, right, [on], residual)
     tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(total / pairs)))
     side = math.sqrt(pairs / TASK_BLOCKS)
+    # About total / side copies are made of each table; a task makes side * side of them.
+    writers = min(MOST_TASKS, math.ceil(total / side**3))
     blocks = lambda n: F.ceil(F.col(n) / side).cast("int")
     hot = keys.filter(F.col("__n") > side * side).select(F.col("__key").alias("__hot"), blocks("__l").alias("__of_left"), blocks("__r").alias("__of_right"))
 
     def dealt(table: DataFrame, key: str, own: str, other: str) -> DataFrame:
         row = F.xxhash64(*[table[n] for n in table.columns])
-        out = table.join(F.broadcast(hot), table[key] == hot["__hot"], "left")
+        spread = table.repartition(writers, *table.columns) if writers > 1 else table
+        out = spread.join(F.broadcast(hot), spread[key] == hot["__hot"], "left")
         out = out.withColumn(f"__{own}", F.pmod(row, F.coalesce(f"__of_{own}", F.lit(1))).cast("int"))
         out = out.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"__of_{other}", F.lit(1)) - 1)))
         return out.drop("__hot", "__of_left", "__of_right").repartition(tasks, key, "__left", "__right")
